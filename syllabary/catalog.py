@@ -13,7 +13,8 @@ ENTITY_DDL: dict[str, str] = {
         credits double, frequency string, goals string, content string, exam_prerequisites string,
         prerequisites map<string,string>, literature string, elective_course_count int,
         elective_prerequisites string, elective_classification string, grading_note string,
-        faculty_id string, url string, path array<array<string>>""",
+        faculty_id string, url string""",
+    "module_path": "id string, module_id string, path array<string>",
     "course": """id string, name string, number string, type string, weekday int, weekly_hours int,
         language string, status string, org_unit string, official_description string,
         organisational string, literature string, url string""",
@@ -93,7 +94,9 @@ RELATIONS: dict[str, dict[str, Relation]] = {
         "courses": _through("module_course", "course"),
         "exams": _owned("exam", "module_id"),
         "achievements": _owned("achievement", "module_id"),
+        "paths": _owned("module_path", "module_id"),
     },
+    "module_path": {"module": _to_one("module", "module_id")},
     "course": {
         "type": _to_one("event_type", "type"),
         "status": _to_one("status", "status"),

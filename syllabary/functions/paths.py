@@ -25,17 +25,26 @@ def is_flat(c: Column) -> Column:
     return F.coalesce(F.get_json_object(c, "$[0]").isNotNull() & F.get_json_object(c, "$[0][0]").isNull(), F.lit(False))
 
 
-def has_segment(paths: Column, segment: str) -> Column:
-    return F.exists(paths, lambda p: F.array_contains(p, segment))
+def has_segment(path: Column, segment: str) -> Column:
+    return F.array_contains(path, segment)
 
 
-def has_prefix(paths: Column, prefix: str) -> Column | None:
-    """Some path starts with the ``a/b/c`` segments; blank segments do not count."""
+def has_prefix(path: Column, prefix: str) -> Column | None:
+    """The path starts with the ``a/b/c`` segments; blank segments do not count."""
     wanted = [s.strip() for s in prefix.split("/") if s.strip()]
     if not wanted:
         return None
-    literal = F.array(*[F.lit(s) for s in wanted])
-    return F.exists(paths, lambda p: F.slice(p, 1, len(wanted)) == literal)
+    return F.slice(path, 1, len(wanted)) == F.array(*[F.lit(s) for s in wanted])
+
+
+def any_has_segment(paths: Column, segment: str) -> Column:
+    return F.exists(paths, lambda p: has_segment(p, segment))
+
+
+def any_has_prefix(paths: Column, prefix: str) -> Column | None:
+    if has_prefix(paths, prefix) is None:
+        return None
+    return F.exists(paths, lambda p: has_prefix(p, prefix))
 
 
 def semester_nodes(paths: Column) -> Column:

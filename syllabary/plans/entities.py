@@ -55,7 +55,7 @@ class Exists:
     build: Build
 
     def apply(self, store: Store, df: DataFrame, entity: str, value) -> DataFrame:
-        if not P.as_list(value):
+        if self.build(F.col(self.column), value) is None:
             return df
         return where_related(store, df, entity, self.path, lambda t: self.build(t[self.column], value))
 
@@ -134,8 +134,8 @@ PARAMETERS: dict[str, dict[str, object]] = {
         "has_events": Has("courses.events"),
         "has_staff": Has("responsible_persons"),
         "has_achievements": Has("achievements"),
-        "path": Own("path", _any_path(paths.has_segment)),
-        "path_prefix": Own("path", _any_path(paths.has_prefix)),
+        "path": Exists("paths", "path", _any_path(paths.has_segment)),
+        "path_prefix": Exists("paths", "path", _any_path(paths.has_prefix)),
     },
     "course": {
         **_ID,
