@@ -54,13 +54,13 @@ VIEWS: dict[str, str] = {
                CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 THEN 'SoSe' ELSE 'WiSe' END AS term
         FROM orders""",
     "exam": """
-        SELECT l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS id, l_orderkey AS module_id,
+        SELECT concat(l_orderkey, '-', l_partkey, '-', l_linenumber) AS id, l_orderkey AS module_id,
                l_returnflag AS name, CAST(l_shipdate AS DATE) AS exam_date,
                CAST(l_linenumber * 60 AS INT) AS start_min, CAST(l_linenumber * 60 + 90 AS INT) AS end_min,
                l_linestatus = 'F' AS required, l_suppkey AS staff_id
         FROM lineitem""",
     "achievement": """
-        SELECT l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS id, l_orderkey AS module_id,
+        SELECT concat(l_orderkey, '-', l_partkey, '-', l_linenumber) AS id, l_orderkey AS module_id,
                l_linestatus AS name, l_tax > 0.04 AS required, l_discount AS weight,
                l_returnflag AS combination
         FROM lineitem""",
@@ -84,7 +84,7 @@ VIEWS: dict[str, str] = {
                       year(o_orderdate)) AS semester_id
         FROM orders""",
     "exam_staff": """
-        SELECT DISTINCT l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS exam_id, l_suppkey AS staff_id
+        SELECT DISTINCT concat(l_orderkey, '-', l_partkey, '-', l_linenumber) AS exam_id, l_suppkey AS staff_id
         FROM lineitem""",
 }
 

@@ -1,9 +1,9 @@
 """Incremental load with Structured Streaming.
 
-Every micro-batch writes the merged rows of its own records next to those of earlier batches, under its
-batch number. Reading merges all parts. The merge is associative, so this equals one big load, nothing
-that is stored has to be rewritten, and a batch that is run again after a failure replaces its own part.
-`compact` folds the parts into one from time to time.
+Every micro-batch writes its staged rows under its batch number; nothing stored before is touched, and a
+batch that is run again after a failure replaces its own rows. Reading resolves the rows of all batches:
+places in the arrival order do not depend on the batch, so the result equals one load of everything.
+`publish` writes the resolved tables for readers that want them ready.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from syllabary.plans import load as L
-from syllabary.store import Store
+from syllabary.store import Store, write_store
 
 LINK_DDL = "name string, url string, path string"
 STAGES = ("modules", "courses", "events", "exams", "achievements", "rejects")
@@ -44,26 +44,6 @@ def warning_counts(warnings: DataFrame) -> DataFrame:
     return warnings.groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _reduce(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Combine a batch's staged rows that are equal apart from their place; the first place stays.
-
-    What the entity merges read is kept as it is, only exact repeats go.
-    """
-    reduced = {}
-    for name, df in staged.items():
-        keys = [c for c in df.columns if c != "seq" and not df.schema[c].dataType.simpleString().startswith("map")]
-        maps = [c for c in df.columns if c != "seq" and c not in keys]
-        if "seq" not in df.columns:
-            reduced[name] = df
-            continue
-        rows = df.withColumns({f"_text_{m}": F.to_json(F.col(m)) for m in maps})
-        aggregates = [F.min("seq").alias("seq"), F.count(F.lit(1)).alias("weight")]
-        aggregates += [F.min_by(m, "seq").alias(m) for m in maps]
-        grouped = rows.groupBy(*keys, *[f"_text_{m}" for m in maps]).agg(*aggregates)
-        reduced[name] = grouped.drop(*[f"_text_{m}" for m in maps])
-    return reduced
-
-
 def write_batch(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: the batch's staged tables under ``<root>/<stage>/batch=<n>``."""
 
@@ -87,3 +67,9 @@ def read_loaded(spark: SparkSession, root: str) -> tuple[Store, DataFrame]:
     """The store and rejects of all batches so far."""
     staged = {name: spark.read.parquet(f"{root}/{name}").drop("batch") for name in STAGES}
     return L.resolve(staged), staged["rejects"]
+
+
+def publish(spark: SparkSession, root: str, target: str) -> None:
+    """Write the resolved tables of all batches so far."""
+    store, _ = read_loaded(spark, root)
+    write_store(store, target)
