@@ -63,7 +63,7 @@ def split_header(c: Column) -> Column:
 
 def split_people(c: Column) -> Column:
     """Names separated by ; or , without blanks."""
-    return F.filter(F.transform(F.split(c, "[;,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clean_staff(c: Column) -> Column:

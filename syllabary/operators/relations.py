@@ -24,7 +24,7 @@ def keys_reaching(store: Store, entity: str, path: str, matches: Predicate | Non
     target = store[relation.target]
     if rest:
         column, keys = keys_reaching(store, relation.target, rest, matches)
-        target = target.join(keys, target[column] == keys["_key"], "left_semi")
+        target = target.where(target[column].isNotNull()).join(keys, target[column] == keys["_key"], "left_semi")
         bare = matches is None or column == "id"
     else:
         column, bare = "id", matches is None
@@ -45,7 +45,10 @@ def where_related(
 ) -> DataFrame:
     """Rows with (or, negated, without) a related row over 1 to n relations for which ``matches`` holds."""
     column, keys = keys_reaching(store, entity, path, matches)
-    return df.join(keys, df[column] == keys["_key"], "left_anti" if negate else "left_semi")
+    if negate:
+        return df.join(keys, df[column] == keys["_key"], "left_anti")
+    # Rows without a key cannot match; left in, they would all meet in one partition.
+    return df.where(df[column].isNotNull()).join(keys, df[column] == keys["_key"], "left_semi")
 
 
 def related_rows(store: Store, entity: str, relation_path: str, parent_id) -> DataFrame:
@@ -83,7 +86,7 @@ def inner_to_one(store: Store, df: DataFrame, entity: str, relation: str, matche
     rel = store.catalog.relation(entity, relation)
     target = store[rel.target]
     kept = target.where(matches(target)).select(F.col(rel.far).alias("_key"))
-    return df.join(kept, df[rel.near] == kept["_key"]).drop("_key")
+    return df.where(df[rel.near].isNotNull()).join(kept, df[rel.near] == kept["_key"]).drop("_key")
 
 
 def fan_out(store: Store, df: DataFrame, entity: str, relation: str, matches: Predicate) -> DataFrame:

@@ -51,6 +51,18 @@ def key_id(*parts: Column) -> Column:
     return F.md5(F.concat_ws("\u001f", *marked))
 
 
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def _room_texts(place: Column) -> Column:
+    """A room whose absent key texts are ''."""
+    house = place["building"]
+    house = F.struct(*[_text(house[c]).alias(c) for c in ("name", "short_name", "address", "url")])
+    full = place.withField("name", _text(place["name"])).withField("external_id", _text(place["external_id"]))
+    return F.when(place.isNotNull(), full.withField("building", house))
+
+
 def in_arrival_order(records: DataFrame) -> DataFrame:
     """Add ``seq``: records arrive in module name order, equal names by number and address."""
     if "seq" in records.columns:
@@ -82,6 +94,7 @@ def stage(records: DataFrame) -> dict[str, DataFrame]:
     events = events.select(
         F.struct("seq", "event_pos").alias("seq"), "module_id", "course_id", "semester_id", "event.*"
     )
+    events = events.withColumn("location", _room_texts(F.col("location")))
     place = F.col("location")
     building_key = key_id(place["building"]["name"], place["building"]["short_name"], place["building"]["address"])
     events = events.withColumn("building_id", F.when(place.isNotNull(), building_key)).withColumn(

@@ -32,7 +32,7 @@ on_star("scan_table", lambda s: s["event"], events_sql("TRUE"))
 on_star("get_by_id", lambda s: relations.by_id(s, "event", 42), events_sql("e.id = 42"))
 
 # ---- predicates --------------------------------------------------------------------------------------
-on_star("f_in", lambda s: E.where(s, "event", {"location_id": [3, 7, 11]}), events_sql("e.location_id IN (3, 7, 11)"))
+on_star("f_in", lambda s: E.where(s, "event", {"location_id": ["L3", "L7", "L11"]}), events_sql("e.location_id IN ('L3', 'L7', 'L11')"))
 on_star(
     "f_ilike_any", lambda s: E.where(s, "course", {"name": ["RED", "_old w"]}),
     with_views("course") + "SELECT * FROM v_course WHERE name ILIKE '%RED%' OR name ILIKE '%_old w%'",
@@ -222,9 +222,9 @@ on_star(
           AND id IN (SELECT location_id FROM v_event)""",
 )
 on_star(
-    "list_buildings", lambda s: E.list_rows(s, "building", {"location_id": [0, 1, 5, 6, 10]}),
+    "list_buildings", lambda s: E.list_rows(s, "building", {"location_id": ["L0", "L1", "L5", "L6", "L10"]}),
     with_views("building", "location")
-    + "SELECT b.* FROM v_building b JOIN v_location l ON l.building_id = b.id WHERE l.id IN (0, 1, 5, 6, 10)",
+    + "SELECT b.* FROM v_building b JOIN v_location l ON l.building_id = b.id WHERE l.id IN ('L0', 'L1', 'L5', 'L6', 'L10')",
 )
 on_star(
     "list_faculties", lambda s: E.list_rows(s, "faculty", {"name": ["asia", "euro"]}),
@@ -371,7 +371,7 @@ on_star(
         FROM v_event WHERE isodow(event_date) = 2""",
 )
 on_star(
-    "m_ceil_pages", lambda s: E.count_rows(s, "building", {"location_id": list(range(25))}, page=1, page_size=7),
+    "m_ceil_pages", lambda s: E.count_rows(s, "building", {"location_id": [f"L{i}" for i in range(25)]}, page=1, page_size=7),
     with_views("building", "location")
     + """SELECT count(*) AS count, 1 AS page, CAST(7 AS BIGINT) AS "limit", CAST(ceil(count(*) / 7.0) AS INT) AS total_pages
          FROM v_building b JOIN v_location l ON l.building_id = b.id""",

@@ -23,11 +23,11 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, event_type AS number, concat(event_type, ' ', user_id % 7) AS name,
                CAST(hour(ts) * 60 AS INT) AS start_min, CAST(hour(ts) * 60 + 90 AS INT) AS end_min,
                CAST(ts AS DATE) AS event_date,
-               CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id % 25 AS INT) END AS location_id,
+               CASE WHEN event_type = 'error' THEN NULL ELSE concat('L', user_id % 25) END AS location_id,
                '' AS url
         FROM events""",
     "location": """
-        SELECT n_nationkey AS id, n_name AS name,
+        SELECT concat('L', n_nationkey) AS id, n_name AS name,
                CASE WHEN n_regionkey < 2 THEN '' ELSE concat('R', n_nationkey) END AS external_id,
                CASE WHEN n_regionkey = 0 THEN 'Ja' WHEN n_regionkey = 1 THEN 'nicht barrierefrei'
                     WHEN n_regionkey = 2 THEN 'barrierefrei' ELSE '' END AS accessibility,

@@ -16,6 +16,9 @@ _RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Inferring filters from constraints takes minutes on the nested records of the load (each alias of an
+    # expression doubles the constraints). The joins here state their IS NOT NULL filters themselves.
+    "spark.sql.constraintPropagation.enabled": "false",
     # Pages are large rows: bound an Arrow batch by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
