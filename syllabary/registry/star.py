@@ -36,7 +36,7 @@ VIEWS: dict[str, str] = {
     "building": "SELECT r_regionkey AS id, r_name AS name, '' AS short_name, lower(r_name) AS address FROM region",
     "faculty": "SELECT r_regionkey AS id, r_name AS name, CAST(r_regionkey AS INT) AS prefix FROM region",
     "module": """
-        SELECT o_orderkey AS id, concat(o_orderpriority, ' ', c_mktsegment) AS name,
+        SELECT o_orderkey AS id, concat(c_mktsegment, ' ', o_orderpriority) AS name,
                concat('1', n_regionkey, '-', o_custkey) AS number,
                CAST(floor(o_totalprice / 50000) AS DOUBLE) AS credits, n_regionkey AS faculty_id
         FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""",
