@@ -155,13 +155,13 @@ add("join_faculty_resolve", _faculty_resolve, PARTS + "SELECT module_id, CAST(fa
 
 
 def _prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = D.sync_degrees(_store(spark, sf_dir))
-    half = store["module_degree"].where(F.col("module_id") < 1000)
-    kept = D.sync_degrees(store.with_tables(module_degree=half, module_path=store["module_path"].where("module_id < 1000"), degree=store["degree"]), prune=True)
-    return kept["degree"].agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("n_names"))
+    """Derived degrees next to outdated ones that no module is linked to any more."""
+    degree, links = D.derive_degrees(_store(spark, sf_dir))
+    outdated = degree.withColumns({"id": F.concat("id", F.lit("-old")), "name": F.concat(F.lit("old "), "name")})
+    return D.prune_degrees(degree.unionByName(outdated), links).select("name", "faculty_id")
 
 
-add("deg_prune", _prune)
+add("deg_prune", _prune, PARTS + LINKED + "SELECT DISTINCT final AS name, CAST(fac AS INT) AS faculty_id FROM named")
 for _name, _column in (("kinds", "kind"), ("confidence", "confidence")):
     add(
         f"deg_report_{_name}", lambda spark, d, n=_name: D.degree_report(found(spark, d))[n],
