@@ -201,8 +201,8 @@ add(
 add(
     "rec_table_shapes", _modules(R.table_shapes),
     """SELECT heading, class, count(*) AS n FROM (SELECT unnest([{'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-compulsory'}, {'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-exam'},
-           {'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-date'}, {'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-instructors'}, {'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-reqachieve'},
-           {'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-compulsory'}, {'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-weight'}]) AS s FROM orders), LATERAL (SELECT s.h AS heading, s.c AS class) GROUP BY 1, 2""",
+           {'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-date'}, {'h': 'Modulabschlussprüfungen', 'c': 'rw-detail-instructors'}, {'h': NULL, 'c': 'rw-detail-reqachieve'},
+           {'h': NULL, 'c': 'rw-detail-compulsory'}, {'h': NULL, 'c': 'rw-detail-weight'}]) AS s FROM orders), LATERAL (SELECT s.h AS heading, s.c AS class) GROUP BY 1, 2""",
 )
 add(
     "rec_course_exams", _courses(lambda e: R.course_exam_dates(e).select("n", "pages")),

@@ -64,7 +64,6 @@ class _Elements(HTMLParser):
         self.pieces: list[tuple[bool, str]] = []  # (is text, characters)
         self.rows: list[dict] = []
         self.count = 0
-        self.heading = ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.pieces.append((False, "\n" if tag in BLOCK else " "))
@@ -81,7 +80,8 @@ class _Elements(HTMLParser):
             e[key] = up.get(key)
         self.count += 1
         if tag == "table":
-            e["tbl"], e["heading"] = e["node"], self.heading
+            e["tbl"] = e["node"]
+            e["heading"] = next((o["head"] for o in reversed(self.stack) if "head" in o), None)
         elif tag == "tr":
             e["tr"] = e["node"]
         elif tag in ("td", "th"):
@@ -150,8 +150,10 @@ class _Elements(HTMLParser):
         if tag == "div":
             if "font-bold" in e["classes"] and e["group"] is not None:
                 e["group"].setdefault("section", flat)
-            if not e["tables"]:
-                self.heading = flat
+            # The first plain div of a section is its heading.
+            if not e["tables"] and not e.get("divs"):
+                up.setdefault("head", flat)
+            up["divs"] = True
         self.rows.append(e)
         return e
 
