@@ -14,7 +14,7 @@ from syllabary.operators import relations
 from syllabary.operators.schedule import are_weekly
 from syllabary.plans import load as L
 from syllabary.registry.base import add, on_star, on_table
-from syllabary.registry.star import table, with_views
+from syllabary.registry.star import spread, table, with_views
 from syllabary.store import Store
 
 SEMESTER = "concat(CASE WHEN month({0}) BETWEEN 4 AND 9 THEN 'SoSe ' ELSE 'WiSe ' END, year({0}))"
@@ -45,7 +45,8 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from syllabary.registry.star import _bind
 
     names = ("lineitem", "orders", "part", "supplier")
-    return spark.sql(_bind(FLAT), **{n: table(spark, sf_dir, n) for n in names})
+    tables = {n: table(spark, sf_dir, n) for n in names}
+    return spark.sql(_bind(FLAT), **{**tables, "lineitem": spread(tables["lineitem"])})
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

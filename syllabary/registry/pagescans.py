@@ -9,7 +9,7 @@ from syllabary.functions import text
 from syllabary.plans import reconcile as R
 from syllabary.registry.base import add
 from syllabary.registry.scalars import _german
-from syllabary.registry.star import star_store, table
+from syllabary.registry.star import spread, star_store, table
 from syllabary.sources import pages as P
 
 
@@ -23,7 +23,7 @@ def _html(*parts: str | Column) -> Column:
 
 def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per event: a header, a staff field and a session table with one row."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     room = F.when(F.col("event_type") == "error", F.lit("")).otherwise(
         _html('<a name="appointmentRooms" href="r"><span>Room ', F.col("user_id") % 25, "</span></a>"))
     end = F.when(F.col("event_type") == "view", F.lit("25:10")).otherwise(F.lit("24:00"))
@@ -41,7 +41,7 @@ def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def module_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order: fields, requirement lines, an exam row and an achievement row."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
 
     def field(label: str, value: Column) -> Column:
         return _html(f'<div><span class="font-semibold break-all">{label}:</span> <div>', value, "</div></div>")

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer splits than the cluster has cores, dealt out ahead of costly row work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # name -> SELECT over the driver's tables, in SQL that Spark and DuckDB read alike.
 VIEWS: dict[str, str] = {
     "event": """
