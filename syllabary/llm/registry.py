@@ -2,20 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import stages
+from .ann import search
+from .fuzzy_lines import fuzzy_lines
+from .mixing import pareto_mix
 from .naming import exact_dedup
+from .ngram_join import ngram_join
+from .packing import pack
+from .quality import classify
 from .sharding import shard
+from .suffix_dedup import remove_repeats
+from .url_lists import host_of, judge, path_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix(table(spark, sf_dir, "documents"))
+
+
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
+def _number(text: Column, first: int) -> Column:
+    """16 bits of a text's MD5, as the SQL below takes them."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), first, 4), 16, 10).cast("int")
+
+
+def _day(number: Column) -> Column:
+    return F.date_add(F.lit("2024-01-01").cast("date"), number)
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as captures; the list is drawn from their own hosts and first path segments, its days from their names."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", _day(_number(F.col("url"), 1) % 366).alias("fetched_on"))
+    named = pages.select(host_of(F.col("url")).alias("host"), F.split(path_of(F.col("url")), "/")[1].alias("top"))
+    hosts = named.select("host").where("host is not null").distinct()
+    start, stay, gap = (_number(F.col("host"), k) % n for k, n in ((1, 200), (5, 90), (9, 60)))
+    chosen = hosts.where(_number(F.col("host"), 13) % 3 == 0)
+    tops = named.where("host is not null and top <> ''").select(F.concat("host", F.lit("/"), "top", F.lit("/")).alias("p")).distinct()
+    steps = (("block", start), ("lift", start + 10 + stay), ("block", start + 20 + stay + gap))
+    entries = tops.where(_number(F.col("p"), 13) % 4 < 2).select(
+        F.col("p").alias("pattern"),
+        F.when(_number(F.col("p"), 13) % 4 == 0, "allow").otherwise("block").alias("action"),
+        _day(_number(F.col("p"), 1) % 366).alias("day"),
+    )
+    for action, number in steps:
+        entries = entries.unionByName(chosen.select(F.col("host").alias("pattern"), F.lit(action).alias("action"), _day(number).alias("day")))
+    return judge(captures, entries)
+
+
+OP4_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, DATE '2024-01-01' + (('0x' || substr(md5(url), 1, 4))::INT % 366) AS fetched_on,
+         nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), hosts AS (
+  SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 4))::INT % 200 AS a, ('0x' || substr(md5(host), 5, 4))::INT % 90 AS b,
+         ('0x' || substr(md5(host), 9, 4))::INT % 60 AS c
+  FROM parts WHERE host IS NOT NULL AND ('0x' || substr(md5(host), 13, 4))::INT % 3 = 0
+), tops AS (
+  SELECT DISTINCT host || '/' || string_split(path, '/')[2] || '/' AS p FROM parts
+  WHERE host IS NOT NULL AND string_split(path, '/')[2] <> ''
+), entries AS (
+  SELECT host AS pattern, 'block' AS action, DATE '2024-01-01' + a AS day FROM hosts
+  UNION ALL SELECT host, 'lift', DATE '2024-01-01' + (a + 10 + b) FROM hosts
+  UNION ALL SELECT host, 'block', DATE '2024-01-01' + (a + 20 + b + c) FROM hosts
+  UNION ALL SELECT p, CASE WHEN ('0x' || substr(md5(p), 13, 4))::INT % 4 = 0 THEN 'allow' ELSE 'block' END,
+                   DATE '2024-01-01' + (('0x' || substr(md5(p), 1, 4))::INT % 366)
+            FROM tops WHERE ('0x' || substr(md5(p), 13, 4))::INT % 4 < 2
+), held AS (
+  SELECT pattern, action, day AS held_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS held_until FROM entries
+), asked AS (
+  SELECT page_id, fetched_on, array_to_string(string_split(host, '.')[len(string_split(host, '.')) - k + 1:], '.') AS pattern, k AS depth
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM parts WHERE host IS NOT NULL)
+  UNION ALL
+  SELECT page_id, fetched_on, host || '/' || array_to_string(segments[:k], '/') || '/', 127 + k
+  FROM (SELECT *, unnest(range(1, least(len(segments), 8) + 1)) AS k
+        FROM (SELECT *, list_filter(string_split(path, '/'), x -> x <> '') AS segments FROM parts WHERE host IS NOT NULL))
+), met AS (
+  SELECT a.page_id, a.pattern, a.depth, h.action, h.held_from
+  FROM asked a JOIN held h ON a.pattern = h.pattern AND h.held_from <= a.fetched_on AND (h.held_until IS NULL OR a.fetched_on < h.held_until)
+  WHERE h.action <> 'lift'
+), best AS (
+  SELECT page_id, count(*) AS n_holding, arg_max(action, depth) AS action, arg_max(pattern, depth) AS pattern,
+         arg_max(held_from, depth) AS held_from
+  FROM met GROUP BY page_id
+)
+SELECT p.page_id AS capture_id, p.fetched_on, coalesce(b.action, 'none') AS verdict, b.pattern, b.held_from,
+       coalesce(b.n_holding, 0) AS n_holding
+FROM parts p LEFT JOIN best b USING (page_id)
+"""
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), stages.tokenizer_path())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,11 +136,25 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY t)
 """
 
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_ann": op1_ann,
+    "op2_mixing": op2_mixing,
+    "op3_fuzzy_lines": op3_fuzzy_lines,
+    "op4_url_lists": op4_url_lists,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 SQL = {
+    "op4_url_lists": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }

@@ -140,6 +140,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("_text"),
     )
+    rows = stored(rows, "sizes")  # dealing by ranges reads its input twice
     placed = stored(running(rows, ["_text", "doc_id"], {"_bytes": F.col("size"), "_row": F.lit(1)}, name="ordered"), "placed")
     ends = stored(
         placed.groupBy("_text").agg(F.max("_bytes").alias("end"), F.sum("size").alias("bytes")).select("end", "bytes"), "ends"
