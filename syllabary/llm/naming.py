@@ -36,18 +36,21 @@ def identities(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column],
     Null text counts as empty (one empty block). Rows that agree in doc_id and text are one document.
     """
     body = ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
-    last = F.greatest(F.octet_length("_body") - 1, F.lit(0))
+    last = F.floor(F.greatest(F.octet_length("_body") - 1, F.lit(0)) / block_bytes).cast("int")
+    # No document is without a block. The outer form only keeps Spark from testing that first, which it would do by
+    # working out the text anew for each block.
     blocks = (
         docs.select(F.col("doc_id").alias("_doc"), body.alias("_body"))
         .select(
             "_doc",
             F.unhex(F.sha2("_body", 256)).alias("_sha"),
+            last.alias("_last"),
             F.transform(
-                F.sequence(F.lit(0), F.floor(last / block_bytes).cast("int")),
+                F.sequence(F.lit(0), last),
                 lambda i: F.substr(F.col("_body"), i * block_bytes + 1, F.lit(block_bytes)),
             ).alias("_blocks"),
         )
-        .select("_doc", "_sha", (F.size("_blocks") - 1).alias("_last"), F.posexplode("_blocks").alias("_pos", "_block"))
+        .select("_doc", "_sha", "_last", F.posexplode_outer("_blocks").alias("_pos", "_block"))
         .withColumn("_key", key(F.col("_block")))
     )
     numbers = _named(blocks.select("_key", "_block"))
