@@ -129,12 +129,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
+def _telling(counts: DataFrame, columns: dict[str, Column], totals: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Forms and their evidence for one head: ``columns`` and ``totals`` have n (documents) and bad."""
+    bad, good = totals["bad"], totals["n"] - totals["bad"]
+    if not bad or not good:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    share = (columns["n"] - columns["bad"] + 0.5) / (good + 1)
+    lift = F.log(((columns["bad"] + 0.5) / (bad + 1)) / share)
+    beyond = (columns["bad"] - bad * share) / F.sqrt(bad * share)
+    telling = counts.select("form", lift.alias("lift"), beyond.alias("beyond")).where("lift > 0.7 and beyond > 6")
+    found = telling.orderBy(F.desc("beyond"), "form").limit(FORMS).collect()
+    keys = np.array([r["form"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["lift"] for r in found])[order]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The document classifier: evidence of word forms from one half of a bounded sample, weights from the other half.
+    """The document classifier, fitted on a bounded sample of labelled documents.
 
     ``labels`` has doc_id, quality (0: poor), toxic (1: toxic). Evidence is the log ratio of a form's document
-    shares in bad and good documents, kept where it is at least two and far beyond chance. Without labels, or with one
-    class only, the head always gives the share it saw.
+    shares in bad and good documents, kept where it is at least two and far beyond chance. The logistic weights are
+    fitted on features whose evidence comes from the other half of the sample; the model then has the evidence of
+    all of it. Without labels, or with one class only, a head always gives the share it saw.
     """
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("toxic"),
@@ -147,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = stored(
         docs.join(small, docs["doc_id"] == small["_doc"]).select("text", *(small[c] for c in (*HEADS, "half"))), "labelled"
     )
+    names = ["form", "half", "n", *HEADS]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,41 +171,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 part = batch.slice(at, to - at)
                 text, form, _ = _forms(part.column(0).to_pylist())
                 text, form = _once(text, form)
-                forms, at_form = np.unique(form, return_inverse=True)
-                bad = [np.bincount(at_form, part.column(c).to_numpy()[text], minlength=len(forms)).astype(np.int64) for c in (1, 2)]
-                yield pa.record_batch([forms.view(np.int64), np.bincount(at_form, minlength=len(forms)), *bad], names=["form", "n", *HEADS])
-
-    total, *bad = rows.where("half = 0").agg(F.count(F.lit(1)), *(F.sum(h) for h in HEADS)).first()
-    counted = rows.where("half = 0").mapInArrow(count, "form long, n long, toxic long, poor long")
-    counts = stored(counted.groupBy("form").agg(*(F.sum(c).alias(c) for c in ("n", *HEADS))).where("n >= 4"), "forms")
-    forms, evidence = [], []
-    for head, number in zip(HEADS, bad, strict=True):
-        number = number or 0
-        good = (total or 0) - number
+                toxic, poor, halves = (part.column(c).to_numpy()[text] for c in (1, 2, 3))
+                for h in (0, 1):
+                    forms, place = np.unique(form[halves == h], return_inverse=True)
+                    sums = [np.bincount(place, w[halves == h], minlength=len(forms)).astype(np.int64) for w in (np.ones(len(form)), toxic, poor)]
+                    yield pa.record_batch([forms.view(np.int64), np.full(len(forms), h), *sums], names=names)
+
+    totals = {r["half"]: r for r in rows.groupBy("half").agg(F.count(F.lit(1)).alias("n"), *(F.sum(h).alias(h) for h in HEADS)).collect()}
+    counted = rows.mapInArrow(count, "form long, half long, n long, toxic long, poor long")
+    of = lambda c, h: F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}_{h}")
+    counts = stored(counted.groupBy("form").agg(*(of(c, h) for c in ("n", *HEADS) for h in (0, 1))).where("n_0 + n_1 >= 4"), "forms")
+
+    def evidence(halves: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        seen = [h for h in halves if h in totals]
         found = []
-        if number and good:
-            share = (F.col("n") - F.col(head) + 0.5) / (good + 1)
-            lift = F.log(((F.col(head) + 0.5) / (number + 1)) / share)
-            beyond = (F.col(head) - number * share) / F.sqrt(number * share)
-            telling = counts.select("form", lift.alias("lift"), beyond.alias("beyond")).where("lift > 0.7 and beyond > 6")
-            found = telling.orderBy(F.desc("beyond"), "form").limit(FORMS).collect()
-        keys = np.array([r["form"] for r in found], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        forms.append(keys[order])
-        evidence.append(np.array([r["lift"] for r in found])[order])
-
-    model = Model(forms, evidence, np.zeros(12), np.ones(12), np.zeros((2, 13)), 0.0)
+        for head in HEADS:
+            columns = {"n": sum((F.col(f"n_{h}") for h in halves), F.lit(0)), "bad": sum((F.col(f"{head}_{h}") for h in halves), F.lit(0))}
+            found.append(_telling(counts, columns, {"n": sum(totals[h]["n"] for h in seen), "bad": sum(totals[h][head] for h in seen)}))
+        return [f for f, _ in found], [e for _, e in found]
+
+    blank = (np.zeros(12), np.ones(12), np.zeros((2, 13)), 0.0)
+    other = [Model(*evidence((1,)), *blank), Model(*evidence((0,)), *blank)]
+    model = Model(*evidence((0, 1)), *blank)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in slices(np.array([len(t.as_py() or "") for t in batch.column(0)]), SLICE):
                 part = batch.slice(at, to - at)
-                yield pa.record_batch(
-                    [pa.array(list(model.features(part.column(0).to_pylist())), pa.list_(pa.float64())), part.column(1), part.column(2)],
-                    names=["x", *HEADS],
-                )
+                texts, halves = part.column(0).to_pylist(), part.column(3).to_numpy()
+                x = np.where(halves[:, None] == 0, other[0].features(texts), other[1].features(texts))
+                yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), part.column(1), part.column(2)], names=["x", *HEADS])
 
-    seen = rows.where("half = 1").mapInArrow(describe, "x array<double>, toxic int, poor int").collect()
+    seen = rows.mapInArrow(describe, "x array<double>, toxic int, poor int").collect()
     model.weights[:, 0] = -30.0
     if seen:
         x = np.array([r["x"] for r in seen])
