@@ -124,6 +124,8 @@ def _lists(
         pairs = target.select(F.col(rel.far).alias("_near"), F.col("id").alias("_far"))
     else:
         pairs = store[rel.link].select(F.col(rel.near).alias("_near"), F.col(rel.far).alias("_far")).distinct()
+    # Rows that belong to nobody would all be gathered in the list of the missing key.
+    pairs = pairs.where(F.col("_near").isNotNull() & F.col("_far").isNotNull())
     if keys is not None:
         pairs = pairs.join(keys, F.col("_near") == F.col("_key"), "left_semi")
         wanted = pairs.select(F.col("_far").alias("_key")).distinct()

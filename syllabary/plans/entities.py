@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabary.functions import paths
+from syllabary.functions import dates, paths
 from syllabary.functions.text import any_of
 from syllabary.operators import filters as P
 from syllabary.operators import ordering, projection
@@ -293,9 +293,15 @@ def distinct_field(
     return ordering.distinct_values(store[entity], field, order, page, page_size)
 
 
-def events_in(store: Store, window: str, day=None, year: int | None = None, month: int | None = None, **parameters) -> DataFrame:
-    """Events of a window: ``day`` (also for today and tomorrow), ``week`` or ``month``."""
+def events_in(
+    store: Store, window: str, day=None, year: int | None = None, month: int | None = None, today: str | None = None, **parameters
+) -> DataFrame:
+    """Events of a window: ``day``, ``week`` or ``month``, or ``today``, ``tomorrow`` or ``this_week`` as of ``today``.
+
+    ``today`` is an ISO date; left out, it is the current date.
+    """
     rows = where(store, "event", parameters)
+    now = F.lit(dates.parse_day(today)) if today else F.current_date()
     if window == "day":
         predicate = P.on_day(rows["event_date"], day)
     elif window == "week":
@@ -303,13 +309,12 @@ def events_in(store: Store, window: str, day=None, year: int | None = None, mont
     elif window == "month":
         predicate = P.in_month(rows["event_date"], year, month)
     elif window == "today":
-        predicate = rows["event_date"] == F.current_date()
+        predicate = rows["event_date"] == now
     elif window == "tomorrow":
-        predicate = rows["event_date"] == F.date_add(F.current_date(), 1)
+        predicate = rows["event_date"] == F.date_add(now, 1)
     elif window == "this_week":
-        predicate = rows["event_date"].between(
-            F.date_trunc("week", F.current_date()).cast("date"), F.date_add(F.date_trunc("week", F.current_date()), 6)
-        )
+        monday = dates.week_start(now)
+        predicate = rows["event_date"].between(monday, F.date_add(monday, 6))
     else:
         raise ValueError(f"unknown window {window!r}")
     return rows.where(predicate)

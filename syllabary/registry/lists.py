@@ -105,7 +105,7 @@ on_table(
 def _snapshot(spark, sf_dir):
     """Documents as crawl snapshot rows: name, url and one path of source and language."""
     docs = table(spark, sf_dir, "documents")
-    name = F.concat(F.lit("10-"), F.col("doc_id") % 50, F.lit(" "), F.substring("text", 1, 20))
+    name = F.concat(F.lit("10-"), F.col("doc_id") % 50, F.lit(" "), F.col("text"))
     return docs.select(name.alias("name"), F.concat(F.lit("d/"), "doc_id").alias("url"), F.array(F.array(F.lit("WiSe 2024"), "source", "lang")).alias("path"))
 
 
@@ -113,7 +113,7 @@ add(
     "f_snapshot",
     lambda spark, d: filter_snapshot(_snapshot(spark, d), name="^10-1. (the|un)", path="SRC", semester="wise").select("name", "url"),
     """SELECT name, url FROM (
-           SELECT concat('10-', doc_id % 50, ' ', substring(text, 1, 20)) AS name, concat('d/', doc_id) AS url FROM documents)
+           SELECT concat('10-', doc_id % 50, ' ', text) AS name, concat('d/', doc_id) AS url FROM documents)
        WHERE regexp_matches(name, '^10-1. (the|un)', 'i')""",
 )
 add(
@@ -238,6 +238,25 @@ on_star(
     "list_event_types", lambda s: E.list_rows(s, "event_type", {"name": "m"}),
     with_views("event_type") + "SELECT * FROM v_event_type WHERE name ILIKE '%m%'",
 )
+on_star(
+    "list_statuses", lambda s: E.list_rows(s, "status", {"name": "state"}),
+    with_views("status") + "SELECT * FROM v_status WHERE name ILIKE '%state%'",
+)
+on_star(
+    "list_degrees", lambda s: E.list_rows(s, "degree", {"name": "b", "subject": "u"}),
+    with_views("degree") + "SELECT * FROM v_degree WHERE name ILIKE '%b%' AND subject ILIKE '%u%'",
+)
+
+# ---- date windows ------------------------------------------------------------------------------------
+for _key, _window, _where in (
+    ("events_today", "today", "e.event_date = DATE '2024-01-17'"),
+    ("events_tomorrow", "tomorrow", "e.event_date = DATE '2024-01-18'"),
+    ("events_this_week", "this_week", "e.event_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'"),
+):
+    on_star(_key, lambda s, w=_window: E.events_in(s, w, today="2024-01-17"), events_sql(_where))
+on_star("events_day", lambda s: E.events_in(s, "day", day="2024-01-09"), events_sql("e.event_date = DATE '2024-01-09'"))
+on_star("events_week", lambda s: E.events_in(s, "week", day="2024-01-10"), events_sql("e.event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'"))
+on_star("events_month", lambda s: E.events_in(s, "month", year=2024, month=1), events_sql("e.event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'"))
 
 # ---- rows related to one parent ----------------------------------------------------------------------
 on_star(
@@ -400,14 +419,18 @@ on_table(
 )
 
 # ---- totals ------------------------------------------------------------------------------------------
-STAT = ("module", "course", "event", "location", "building", "staff", "exam", "achievement", "module_course", "course_event", "event_staff", "module_staff")
+STAT = (
+    "module", "course", "event", "location", "building", "staff", "exam", "achievement", "semester", "faculty", "degree",
+    "status", "event_type", "module_course", "course_event", "event_staff", "module_staff", "course_staff", "exam_staff",
+    "module_semester", "event_semester", "module_start_semester", "module_degree", "module_path",
+)
 on_star(
     "agg_stats", lambda s: stats_record({n: s[n] for n in STAT}),
     with_views(*STAT) + "SELECT " + ", ".join(f"(SELECT count(*) FROM v_{n}) AS {n}" for n in STAT),
 )
 on_star(
-    "agg_totals", lambda s: table_counts({n: s[n] for n in STAT[:8]}),
-    with_views(*STAT[:8]) + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n FROM v_{n}" for n in STAT[:8]),
+    "agg_totals", lambda s: table_counts({n: s[n] for n in STAT[:11]}),
+    with_views(*STAT[:11]) + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n FROM v_{n}" for n in STAT[:11]),
 )
 
 # ---- schedule ----------------------------------------------------------------------------------------
@@ -425,11 +448,11 @@ on_star(
     with_views("event") + ", slots AS (" + SLOTS.format("TRUE") + ") " + SLOT_ROWS,
 )
 on_star(
-    "weekly_slots_curriculum", lambda s: E.weekly_schedule(s, {"faculty_ids": [2, 3], "staff_ids": list(range(50)), "weekdays": [0, 1, 2]}, sort="name", page_size=100),
+    "weekly_slots_curriculum", lambda s: E.weekly_schedule(s, {"faculty_ids": [2, 3], "staff_ids": list(range(50)), "weekdays": [0, 1, 2]}, sort="name"),
     with_views("event", "course_event", "module_course", "module", "event_staff") + ", slots AS ("
     + SLOTS.format(MODULE_OF_EVENT.format("m.faculty_id IN (2, 3)")
                    + " AND e.id IN (SELECT event_id FROM v_event_staff WHERE staff_id < 50) AND isodow(e.event_date) <= 3")
-    + ") " + SLOT_ROWS + " ORDER BY e.name, e.id LIMIT 100",
+    + ") " + SLOT_ROWS,
 )
 on_star(
     "slot_representatives", lambda s: slot_representatives(s["event"]),

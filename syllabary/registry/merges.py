@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from syllabary.functions import dates
 from syllabary.operators import aggregates as A
 from syllabary.operators import relations
 from syllabary.operators.schedule import are_weekly
 from syllabary.plans import load as L
 from syllabary.registry.base import add, on_star, on_table
-from syllabary.registry.star import spread, table, with_views
+from syllabary.registry.star import table, with_views
 from syllabary.store import Store
 
 SEMESTER = "concat(CASE WHEN month({0}) BETWEEN 4 AND 9 THEN 'SoSe ' ELSE 'WiSe ' END, year({0}))"
@@ -46,7 +47,7 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = ("lineitem", "orders", "part", "supplier")
     tables = {n: table(spark, sf_dir, n) for n in names}
-    return spark.sql(_bind(FLAT), **{**tables, "lineitem": spread(tables["lineitem"])})
+    return spark.sql(_bind(FLAT), **tables)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,15 +317,15 @@ on_table(
 
 
 def _dates_missing(d: DataFrame) -> DataFrame:
-    """Per user and hour: weeks between first and last Monday event in which there was none."""
-    mondays = d.select("user_id", F.to_date("ts").alias("day")).where(F.weekday("day") == 0)
-    spans = mondays.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.collect_set("day").alias("seen"))
-    missing: Column = F.array_except(F.sequence("a", "b", F.expr("interval 7 days")), "seen")
-    return spans.select("user_id", F.size(missing).cast("long").alias("n_missing"))
+    """Per user and weekday: weeks between the first and last event in which there was none."""
+    days = d.select("user_id", F.to_date("ts").alias("day")).withColumn("weekday", F.weekday("day"))
+    spans = days.groupBy("user_id", "weekday").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.collect_set("day").alias("seen"))
+    missing: Column = F.array_except(dates.weekly_dates(F.col("a"), F.col("b")), "seen")
+    return spans.select("user_id", "weekday", F.size(missing).cast("long").alias("n_missing"))
 
 
 on_table(
     "set_dates_missing", "events", _dates_missing,
-    """SELECT user_id, CAST(date_diff('day', min(d), max(d)) / 7 + 1 - count(DISTINCT d) AS BIGINT) AS n_missing
-       FROM (SELECT user_id, CAST(ts AS DATE) AS d FROM events) WHERE isodow(d) = 1 GROUP BY user_id""",
+    """SELECT user_id, CAST(isodow(d) - 1 AS INT) AS weekday, CAST(date_diff('day', min(d), max(d)) / 7 + 1 - count(DISTINCT d) AS BIGINT) AS n_missing
+       FROM (SELECT user_id, CAST(ts AS DATE) AS d FROM events) GROUP BY 1, 2""",
 )

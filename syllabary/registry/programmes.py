@@ -113,7 +113,16 @@ add(
     PARTS + """, c AS (SELECT faculty, category, subject0, seg, count(*) AS n FROM b WHERE kind = 'studiengang' GROUP BY 1, 2, 3, 4)
         SELECT faculty, category, seg AS subject, first_value(seg) OVER (PARTITION BY faculty, category, subject0 ORDER BY n DESC, seg) AS canonical FROM c""",
 )
-add("s_fuzzy_ratio", lambda spark, d: D.canonical_subjects(D.subject_counts(found(spark, d).where("kind = 'studiengang'"))).where("subject <> canonical"))
+add(
+    "s_fuzzy_ratio",
+    lambda spark, d: D.similar_spellings(D.subject_counts(found(spark, d).where("kind = 'studiengang'"))).select(
+        "faculty", "category", "later", "earlier", F.round(D.spelling_ratio("later", "earlier"), 6).alias("ratio")),
+    PARTS + """, c AS (SELECT faculty, category, subject0, seg, count(*) AS n FROM b WHERE kind = 'studiengang' GROUP BY 1, 2, 3, 4)
+        SELECT x.faculty, x.category, lower(x.seg) AS later, lower(y.seg) AS earlier,
+               round(2.0 * least(length(x.seg), length(y.seg)) / (length(x.seg) + length(y.seg)), 6)::DOUBLE AS ratio
+        FROM c x JOIN c y ON x.faculty = y.faculty AND x.category IS NOT DISTINCT FROM y.category AND x.subject0 = y.subject0 AND x.seg <> y.seg
+             AND (y.n > x.n OR y.n = x.n AND y.seg < x.seg)""",
+)
 
 
 def _store(spark: SparkSession, sf_dir: str) -> Store:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from syllabary.plans import audit
 from syllabary.plans import reconcile as R
-from syllabary.registry.base import add, on_star
+from syllabary.registry.base import add, on_star, on_table
 from syllabary.registry.star import star_store, table, with_views
 
 V = with_views
@@ -35,11 +35,10 @@ _check("audit_events_without_courses", "events_without_courses", "id", _none("ev
 _check("audit_events_without_semester", "events_without_semester", "id", _none("event", "event_semester", "event_id"), "event", "event_semester")
 _check("audit_locations_without_events", "locations_without_events", "id", _none("location", "event", "location_id"), "location", "event")
 _check("audit_locations_without_building", "locations_without_building", "id", "SELECT id FROM v_location WHERE building_id IS NULL", "location")
+ORPHANS = "SELECT id FROM v_staff s WHERE " + " AND ".join(
+    f"NOT EXISTS (SELECT 1 FROM v_{t} l WHERE l.staff_id = s.id)" for t in ("module_staff", "course_staff", "event_staff", "exam_staff"))
 _check(
-    "audit_orphan_staff", "orphan_staff", "id",
-    "SELECT id FROM v_staff s WHERE " + " AND ".join(
-        f"NOT EXISTS (SELECT 1 FROM v_{t} l WHERE l.staff_id = s.id)" for t in ("module_staff", "course_staff", "event_staff", "exam_staff")),
-    "staff", "module_staff", "course_staff", "event_staff", "exam_staff",
+    "audit_orphan_staff", "orphan_staff", "id", ORPHANS, "staff", "module_staff", "course_staff", "event_staff", "exam_staff",
 )
 _check(
     "audit_duplicate_module_numbers", "duplicate_module_numbers", "number, n_names",
@@ -51,19 +50,41 @@ on_star(
     + """SELECT course_id, count(*) FILTER (WHERE location_id IS NULL) AS unlocated FROM v_course_event JOIN v_event ON id = event_id
          GROUP BY course_id HAVING count(*) FILTER (WHERE location_id IS NULL) > 0 AND count(location_id) > 0""",
 )
-RUN = ("modules_without_courses", "modules_zero_credits", "courses_without_events", "events_without_location", "events_without_courses", "locations_without_events", "duplicate_module_numbers")
+_check("audit_modules_without_start_semester", "modules_without_start_semester", "id", _none("module", "module_start_semester", "module_id"), "module", "module_start_semester")
+_check("audit_modules_without_degrees", "modules_without_degrees", "id", _none("module", "module_degree", "module_id"), "module", "module_degree")
+_check("audit_modules_with_empty_path", "modules_with_empty_path", "id", _none("module", "module_path", "module_id"), "module", "module_path")
+_check("audit_modules_zero_duration", "modules_zero_duration", "id", "SELECT id FROM v_module WHERE duration_semesters = 0", "module")
+_check("audit_orphan_degrees", "orphan_degrees", "id", _none("degree", "module_degree", "degree_id"), "degree", "module_degree")
+REPORT = {
+    "modules_without_semester": ("error", _none("module", "module_semester", "module_id")),
+    "modules_without_start_semester": ("error", _none("module", "module_start_semester", "module_id")),
+    "modules_without_courses": ("error", _none("module", "module_course", "module_id")),
+    "modules_without_degrees": ("warn", _none("module", "module_degree", "module_id")),
+    "modules_without_faculty": ("warn", "SELECT id FROM v_module WHERE faculty_id IS NULL"),
+    "modules_with_empty_path": ("warn", _none("module", "module_path", "module_id")),
+    "modules_zero_credits": ("warn", "SELECT id FROM v_module WHERE credits = 0"),
+    "modules_zero_duration": ("warn", "SELECT id FROM v_module WHERE duration_semesters = 0"),
+    "courses_without_events": ("warn", _none("course", "course_event", "course_id")),
+    "courses_without_modules": ("error", _none("course", "module_course", "course_id")),
+    "events_without_location": ("warn", "SELECT id FROM v_event WHERE location_id IS NULL"),
+    "events_without_location_mixed": ("warn", MIXED),
+    "events_without_courses": ("error", _none("event", "course_event", "event_id")),
+    "events_without_semester": ("error", _none("event", "event_semester", "event_id")),
+    "locations_without_events": ("warn", _none("location", "event", "location_id")),
+    "locations_without_building": ("warn", "SELECT id FROM v_location WHERE building_id IS NULL"),
+    "orphan_degrees": ("warn", _none("degree", "module_degree", "degree_id")),
+    "orphan_staff": ("warn", ORPHANS),
+    "duplicate_module_numbers": ("warn", "SELECT number FROM v_module GROUP BY number HAVING count(DISTINCT name) > 1"),
+}
 on_star(
-    "audit_report_sink", lambda s: audit.summary(s, tuple(c for c in audit.CHECKS if c.key in RUN)).select(F.col("check").alias("name"), "severity", "n"),
-    V("module", "module_course", "course", "course_event", "event", "location") + " UNION ALL ".join(
-        f"SELECT '{n}' AS name, '{sev}' AS severity, count(*) AS n FROM ({q})" for n, sev, q in (
-            ("modules_without_courses", "error", _none("module", "module_course", "module_id")),
-            ("modules_zero_credits", "warn", "SELECT id FROM v_module WHERE credits = 0"),
-            ("courses_without_events", "warn", _none("course", "course_event", "course_id")),
-            ("events_without_location", "warn", "SELECT id FROM v_event WHERE location_id IS NULL"),
-            ("events_without_courses", "error", _none("event", "course_event", "event_id")),
-            ("locations_without_events", "warn", _none("location", "event", "location_id")),
-            ("duplicate_module_numbers", "warn", "SELECT number FROM v_module GROUP BY number HAVING count(DISTINCT name) > 1"),
-        )),
+    "audit_report_sink", lambda s: audit.summary(s).select(F.col("check").alias("name"), "severity", "n"),
+    V("module", "module_course", "module_semester", "module_start_semester", "module_degree", "module_path", "course", "course_event", "event",
+      "event_semester", "event_staff", "location", "degree", "staff", "module_staff", "course_staff", "exam_staff")
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, '{sev}' AS severity, count(*) AS n FROM ({q})" for n, (sev, q) in REPORT.items()),
+)
+on_table(
+    "audit_warning_summary", "events", lambda d: audit.warning_summary(d.select(F.nullif("event_type", F.lit("view")).alias("kind"))),
+    """SELECT coalesce(nullif(event_type, 'view'), 'unknown') AS kind, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, kind LIMIT 15""",
 )
 
 # ---- integrity ---------------------------------------------------------------------------------------
@@ -74,6 +95,17 @@ _check("int_event", "event_date_out_of_range", "id", "SELECT id FROM v_event WHE
 _check("int_event_times", "event_start_not_before_end", "id", "SELECT id FROM v_event WHERE start_min >= end_min", "event")
 _check("int_location", "location_empty_external_id", "id, name", "SELECT id, name FROM v_location WHERE external_id = ''", "location")
 _check("int_building", "building_empty_name", "id", "SELECT id FROM v_building WHERE name = ''", "building")
+_check("int_degree", "degree_empty_name", "id", "SELECT id FROM v_degree WHERE name = '' OR name IS NULL", "degree")
+_check("int_degree_orphan", "degree_orphan", "id", _none("degree", "module_degree", "degree_id"), "degree", "module_degree")
+_check("int_module_empty_name", "module_empty_name", "id", "SELECT id FROM v_module WHERE name = '' OR name IS NULL", "module")
+_check("int_module_no_path", "module_no_path", "id", _none("module", "module_path", "module_id"), "module", "module_path")
+_check("int_module_no_courses", "module_no_courses", "id", _none("module", "module_course", "module_id"), "module", "module_course")
+_check("int_semester_duplicate", "semester_duplicate_name", "name, n", "SELECT name, count(*) AS n FROM v_semester GROUP BY name HAVING count(*) > 1", "semester")
+_check("int_course_org_unit", "course_empty_org_unit", "id", "SELECT id FROM v_course WHERE org_unit = ''", "course")
+_check("int_course_weekly_hours", "course_zero_weekly_hours", "id", "SELECT id FROM v_course WHERE weekly_hours = 0", "course")
+_check("int_event_location", "event_null_location", "id", "SELECT id FROM v_event WHERE location_id IS NULL", "event")
+_check("int_location_identity", "location_duplicate_identity", "name, n", "SELECT name, count(*) AS n FROM v_location GROUP BY name, external_id, building_id HAVING count(*) > 1", "location")
+_check("int_location_name", "location_empty_name", "id", "SELECT id FROM v_location WHERE name = ''", "location")
 _check("int_staff", "staff_empty_name", "id", "SELECT id FROM v_staff WHERE name = '' OR name IS NULL", "staff")
 
 

@@ -17,40 +17,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan that has fewer splits than the cluster has cores, dealt out ahead of costly row work."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
+# The tables themselves are without faults, so some of their rows come a second time under ids above FAULTY: as modules,
+# courses, events, rooms, people and terms that break a rule each. They are added, and no row is left out.
+FAULTY = 100_000_000
 
 # name -> SELECT over the driver's tables, in SQL that Spark and DuckDB read alike.
 VIEWS: dict[str, str] = {
-    "event": """
-        SELECT event_id AS id, event_type AS number, concat(event_type, ' ', user_id % 7) AS name,
+    "event": f"""
+        SELECT event_id AS id,
+               CASE WHEN event_id % 9 = 0 THEN concat('Brand#', event_id % 25, '-', event_type) ELSE event_type END AS number, concat(event_type, ' ', user_id % 7) AS name,
                CAST(hour(ts) * 60 AS INT) AS start_min, CAST(hour(ts) * 60 + 90 AS INT) AS end_min,
                CAST(ts AS DATE) AS event_date,
                CASE WHEN event_type = 'error' THEN NULL ELSE concat('L', user_id % 25) END AS location_id,
                '' AS url
-        FROM events""",
+        FROM events
+        UNION ALL
+        SELECT event_id + {FAULTY} AS id, event_type AS number, 'backwards' AS name, CAST(600 AS INT) AS start_min,
+               CAST(540 AS INT) AS end_min,
+               CASE WHEN event_id % 2 = 0 THEN DATE '1999-12-31' ELSE CAST(ts AS DATE) END AS event_date,
+               CAST(NULL AS STRING) AS location_id, '' AS url
+        FROM events WHERE event_id % 199 = 0""",
     "location": """
         SELECT concat('L', n_nationkey) AS id, n_name AS name,
                CASE WHEN n_regionkey < 2 THEN '' ELSE concat('R', n_nationkey) END AS external_id,
                CASE WHEN n_regionkey = 0 THEN 'Ja' WHEN n_regionkey = 1 THEN 'nicht barrierefrei'
                     WHEN n_regionkey = 2 THEN 'barrierefrei' ELSE '' END AS accessibility,
                CAST(n_nationkey * 10 AS INT) AS seats, n_regionkey AS building_id, '' AS url
-        FROM nation""",
-    "building": "SELECT r_regionkey AS id, r_name AS name, '' AS short_name, lower(r_name) AS address FROM region",
+        FROM nation
+        UNION ALL
+        SELECT concat('X', n_nationkey) AS id, n_name AS name, '' AS external_id, '' AS accessibility,
+               CAST(0 AS INT) AS seats, CAST(NULL AS INT) AS building_id, '' AS url
+        FROM nation WHERE n_nationkey < 3
+        UNION ALL
+        SELECT concat('Y', n_nationkey) AS id, '' AS name, '' AS external_id, '' AS accessibility,
+               CAST(0 AS INT) AS seats, CAST(NULL AS INT) AS building_id, '' AS url
+        FROM nation WHERE n_nationkey < 2""",
+    "building": """
+        SELECT r_regionkey AS id, r_name AS name, '' AS short_name, lower(r_name) AS address FROM region
+        UNION ALL
+        SELECT CAST(r_regionkey + 100 AS INT) AS id, '' AS name, '' AS short_name, '' AS address FROM region WHERE r_regionkey = 0""",
     "faculty": "SELECT r_regionkey AS id, r_name AS name, CAST(r_regionkey AS INT) AS prefix FROM region",
-    "module": """
+    "module": f"""
         SELECT o_orderkey AS id, concat(c_mktsegment, ' ', o_orderpriority) AS name,
                concat('1', n_regionkey, '-', o_custkey) AS number,
-               CAST(floor(o_totalprice / 50000) AS DOUBLE) AS credits, n_regionkey AS faculty_id
-        FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""",
-    "course": """
-        SELECT p_partkey AS id, p_name AS name, p_brand AS number, p_type AS type, p_size AS weekly_hours
-        FROM part""",
+               CAST(floor(o_totalprice / 50000) AS DOUBLE) AS credits, n_regionkey AS faculty_id,
+               CAST(1 + o_orderkey % 3 AS INT) AS duration_semesters
+        FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+        UNION ALL
+        SELECT o_orderkey + {FAULTY} AS id, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'Draft' END AS name,
+               concat('99-', o_custkey) AS number, CAST(0 AS DOUBLE) AS credits, CAST(NULL AS INT) AS faculty_id,
+               CAST(0 AS INT) AS duration_semesters
+        FROM orders WHERE o_orderkey % 307 = 0""",
+    "course": f"""
+        SELECT p_partkey AS id, p_name AS name, p_brand AS number, p_type AS type, p_size AS weekly_hours,
+               'Unit' AS org_unit
+        FROM part
+        UNION ALL
+        SELECT p_partkey + {FAULTY} AS id, p_name AS name, p_brand AS number, p_type AS type, CAST(0 AS INT) AS weekly_hours,
+               '' AS org_unit
+        FROM part WHERE p_partkey % 101 = 0""",
     "event_type": "SELECT DISTINCT p_type AS id, lower(p_type) AS name FROM part",
-    "staff": "SELECT s_suppkey AS id, s_name AS name FROM supplier",
+    "staff": f"""
+        SELECT s_suppkey AS id, s_name AS name FROM supplier
+        UNION ALL
+        SELECT s_suppkey + {FAULTY} AS id, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'N. N.' END AS name
+        FROM supplier WHERE s_suppkey % 3 = 0""",
+    "status": "SELECT DISTINCT o_orderstatus AS id, concat('state ', o_orderstatus) AS name FROM orders",
+    "degree": f"""
+        SELECT DISTINCT concat('D-', c_mktsegment) AS id, concat(c_mktsegment, ' (B.A.)') AS name, c_mktsegment AS subject,
+               'B.A.' AS degree, 'high' AS confidence FROM customer
+        UNION ALL
+        SELECT concat('X-', r_regionkey) AS id, '' AS name, '' AS subject, '' AS degree, 'low' AS confidence FROM region""",
     "semester": """
         SELECT DISTINCT concat(CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 THEN 'SoSe ' ELSE 'WiSe ' END,
                                year(o_orderdate)) AS id,
@@ -58,7 +95,11 @@ VIEWS: dict[str, str] = {
                       year(o_orderdate)) AS name,
                CAST(year(o_orderdate) AS INT) AS year,
                CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 THEN 'SoSe' ELSE 'WiSe' END AS term
-        FROM orders""",
+        FROM orders
+        UNION ALL
+        SELECT DISTINCT concat('short ', year(o_orderdate)) AS id, concat('SoSe ', CAST(floor(year(o_orderdate) / 10) AS INT)) AS name,
+               CAST(year(o_orderdate) % 100 AS INT) AS year, 'SoSe' AS term
+        FROM orders WHERE year(o_orderdate) < 2000""",
     "exam": """
         SELECT concat(l_orderkey, '-', l_partkey, '-', l_linenumber) AS id, l_orderkey AS module_id,
                l_returnflag AS name, CAST(l_shipdate AS DATE) AS exam_date,
@@ -73,17 +114,24 @@ VIEWS: dict[str, str] = {
     "module_course": "SELECT DISTINCT l_orderkey AS module_id, l_partkey AS course_id FROM lineitem",
     "module_staff": "SELECT DISTINCT l_orderkey AS module_id, l_suppkey AS staff_id FROM lineitem",
     "course_staff": "SELECT DISTINCT l_partkey AS course_id, l_suppkey AS staff_id FROM lineitem",
-    "course_event": """
-        SELECT DISTINCT l_partkey AS course_id, l_orderkey AS event_id
-        FROM lineitem WHERE l_linenumber <= 2""",
-    "event_staff": """
-        SELECT DISTINCT l_orderkey AS event_id, l_suppkey AS staff_id
-        FROM lineitem WHERE l_linenumber = 1""",
+    "course_event": "SELECT DISTINCT l_partkey AS course_id, l_orderkey AS event_id FROM lineitem",
+    "event_staff": "SELECT DISTINCT l_orderkey AS event_id, l_suppkey AS staff_id FROM lineitem",
     "module_semester": """
         SELECT o_orderkey AS module_id,
                concat(CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 THEN 'SoSe ' ELSE 'WiSe ' END,
                       year(o_orderdate)) AS semester_id
         FROM orders""",
+    "module_start_semester": """
+        SELECT o_orderkey AS module_id,
+               concat(CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 THEN 'SoSe ' ELSE 'WiSe ' END,
+                      year(o_orderdate)) AS semester_id
+        FROM orders""",
+    "module_path": """
+        SELECT o_orderkey AS module_id, split(concat('Root/WiSe ', year(o_orderdate), '/', o_orderpriority), '/') AS path
+        FROM orders""",
+    "module_degree": """
+        SELECT o_orderkey AS module_id, concat('D-', c_mktsegment) AS degree_id
+        FROM orders JOIN customer ON c_custkey = o_custkey""",
     "event_semester": """
         SELECT o_orderkey AS event_id,
                concat(CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 THEN 'SoSe ' ELSE 'WiSe ' END,
