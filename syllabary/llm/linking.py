@@ -119,13 +119,13 @@ def _jaccard_links(hashes: np.ndarray, counts: np.ndarray, left: np.ndarray, rig
 
 
 def verified(
-    members: DataFrame, shingles: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], width: int, threshold: float, name: str
+    members: DataFrame, texts: DataFrame, shingles: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], width: int, threshold: float, name: str
 ) -> DataFrame:
     """(id, links, other): verified links of each id inside its cluster, and an id of its component, by block pair.
 
-    ``members`` has cluster, id, text, weight (about the number of shingles). A cluster is cut into blocks by a hash of
-    the id, and each pair of blocks is one group, so no group grows with the cluster; a pair of members meets in
-    exactly one. Links are counted there and never written as pairs.
+    ``members`` has cluster, id, weight (about the number of shingles), ``texts`` id and text. A cluster is cut into blocks
+    by a hash of the id, and each pair of blocks is one group, so no group grows with the cluster; a pair of members meets
+    in exactly one. Texts join last, by id. Links are counted there and never written as pairs.
     """
     sums = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
@@ -134,7 +134,8 @@ def verified(
         members.join(sized, "cluster")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"), "own", "id", "text")
+        .select("cluster", F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"), "own", "id")
+        .join(texts.select("id", "text"), "id")
     )
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 

@@ -69,8 +69,8 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall:
     clusters = components(star_edges(texts.where("id is not null").select("id", "bands"), "near"), "candidates")
     weights = texts.where("id is not null").groupBy("id").agg(F.max("weight").alias("weight"))
     chosen = stored(clusters.join(weights, "id").select(F.col("root").alias("cluster"), "id", "weight"), "clusters")
-    members = chosen.join(source.withColumnRenamed("doc_id", "id"), "id").where("text is not null")
-    links = verified(members, word_shingles, words, threshold, "near")
+    bodies = source.withColumnRenamed("doc_id", "id").where("text is not null")
+    links = verified(chosen, bodies, word_shingles, words, threshold, "near")
     classes = components(links.select("id", "other"), "classes")
     per_id = links.groupBy("id").agg(F.sum("links").alias("links")).join(classes, "id", "left")
     by_key = texts.drop("bands", "weight").join(per_id, "id", "left")
