@@ -14,7 +14,7 @@ ENTITY_DDL: dict[str, str] = {
         prerequisites map<string,string>, literature string, elective_course_count int,
         elective_prerequisites string, elective_classification string, grading_note string,
         faculty_id string, url string""",
-    "module_path": "id string, module_id string, path array<string>",
+    "module_path": "id string, module_id string, path array<string>, position int",
     "course": """id string, name string, number string, type string, weekday int, weekly_hours int,
         language string, status string, org_unit string, official_description string,
         organisational string, literature string, url string""",

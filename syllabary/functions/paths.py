@@ -52,6 +52,12 @@ def semester_nodes(paths: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(paths), lambda x: x.rlike(_SEMESTER_NODE)))
 
 
+def term_nodes(paths: Column) -> Column:
+    """Nodes that name a term, for the load: they start with it and hold a year, whatever stands between; each once, in order."""
+    named = F.filter(F.flatten(paths), lambda x: x.rlike(r"^(SoSe|WiSe)(?s:.*)\d{2}"))
+    return F.array_distinct(named)
+
+
 def contains_text(paths: Column, text: str) -> Column:
     return F.exists(F.flatten(paths), lambda x: F.lower(x).contains(text.lower()))
 
@@ -61,6 +67,11 @@ def number_prefix(number: Column) -> Column:
     return F.regexp_extract(number, r"^A?(\d{2})", 1).try_cast("int")
 
 
+def faculty_digits(node: Column) -> Column:
+    """As `node_prefix`, for derived degrees, where blanks around the dash are free: 6 in ``06-…``."""
+    return F.regexp_extract(node, r"^\s*A?(\d{2})\s*-\s*", 1).try_cast("int")
+
+
 def node_prefix(node: Column) -> Column:
     """Faculty digits of a path node, e.g. 6 in ``06 - …``."""
     return F.regexp_extract(node, r"^A?(\d{2}) - ", 1).try_cast("int")

@@ -164,13 +164,16 @@ def _top_level_colon(line: Column) -> Column:
     return F.when(flat, F.instr(line, ":")).otherwise(F.aggregate(F.split(line, ""), start, step)["at"])
 
 
+# Tags that start a line.
+BLOCK_TAGS = ("br", "div", "p", "li", "ul", "ol", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table")
+
+
 def html_lines(c: Column) -> Column:
     """Markup to text: an opening block tag starts a line, an opening inline tag is a space.
 
     Closing tags add nothing, comments count as text. Lines are squeezed and blank ones dropped.
     """
-    # Tags that start a line.
-    block = "br|div|p|li|ul|ol|tr|td|th|h[1-6]|section|article|table"
+    block = "|".join(BLOCK_TAGS)
     text = F.regexp_replace(c, r"(?s)<!--(.*?)-->", "$1")
     text = F.regexp_replace(text, rf"(?i)<(?:{block})(?:\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[a-zA-Z][^>]*>", " ")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllabary.catalog import LINKS
@@ -64,16 +64,20 @@ def _room_texts(place: Column) -> Column:
 
 
 def in_arrival_order(records: DataFrame) -> DataFrame:
-    """Add ``seq``: records arrive in module name order, equal names by number and address."""
+    """Add ``seq``: records arrive in module name order, equal names by number and address, then by a digest of the record.
+
+    Two crawls of one page can differ, and neither partitions nor batches may decide which of them is first.
+    """
     if "seq" in records.columns:
         return records
-    return records.withColumn("seq", F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "number", "url")]))
+    named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "number", "url")]
+    return records.withColumn("seq", F.struct(*named, F.md5(F.to_json(F.struct(*records.columns))).alias("digest")))
 
 
 def stage(records: DataFrame) -> dict[str, DataFrame]:
     """Flatten nested records to one table per level. Each row knows its place in the arrival order."""
     records = in_arrival_order(records)
-    found = paths.semester_nodes(F.filter(F.col("path"), lambda p: F.size(p) > 0))
+    found = paths.term_nodes(F.filter(F.col("path"), lambda p: F.size(p) > 0))
     named = F.filter(F.transform(found, dates.semester), lambda s: s.isNotNull())
     base = (
         records.withColumn("path", paths.drop_empty(F.col("path")))
@@ -224,13 +228,18 @@ def resolve_modules(modules: DataFrame, faculty: DataFrame, courses: DataFrame)
 
 
 def resolve_paths(modules: DataFrame) -> DataFrame:
-    """The union of each module's path groups, one row per distinct group.
+    """The union of each module's path groups, one row per distinct group, with its position in arrival order.
 
     Paths stay rows: a module met on any number of paths never becomes one long list.
     """
-    groups = modules.select("module_id", F.explode("path").alias("path")).distinct()
+    rows = modules.select("module_id", "seq", F.posexplode("path").alias("pos", "path"))
+    groups = rows.groupBy("module_id", "path").agg(F.min(F.struct("seq", "pos")).alias("place"))
     key = key_id(F.col("module_id"), F.to_json(F.struct("path")))
-    return groups.select(key.alias("id"), "module_id", "path")
+    # The rows of a module are its distinct paths, after all its records were combined.
+    by_place = Window.partitionBy("module_id").orderBy("place", "id")
+    return groups.select(key.alias("id"), "module_id", "path", "place").select(
+        "id", "module_id", "path", F.row_number().over(by_place).alias("position")
+    )
 
 
 def _mode(df: DataFrame, key: str, value: str) -> DataFrame:

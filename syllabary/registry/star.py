@@ -127,7 +127,8 @@ VIEWS: dict[str, str] = {
                       year(o_orderdate)) AS semester_id
         FROM orders""",
     "module_path": """
-        SELECT o_orderkey AS module_id, split(concat('Root/WiSe ', year(o_orderdate), '/', o_orderpriority), '/') AS path
+        SELECT o_orderkey AS module_id, split(concat('Root/WiSe ', year(o_orderdate), '/', o_orderpriority), '/') AS path,
+               CAST(1 AS INT) AS position
         FROM orders""",
     "module_degree": """
         SELECT o_orderkey AS module_id, concat('D-', c_mktsegment) AS degree_id

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syllabary.functions import dates, text, urls
+from syllabary.functions.text import BLOCK_TAGS
 from syllabary.operators.aggregates import counter
 
 # Workers get the functions themselves, so the package need not be installed there.
@@ -44,7 +45,6 @@ ROOM_LABELS = {
 BUILDING_LABELS = {"Name": "name", "Kürzel": "short_name", "Adresse": "address"}
 LABEL_CLASSES = {"font-semibold", "break-all"}
 MOBILE_LABEL = "lg:hidden"
-BLOCK = frozenset("br div p li ul ol tr td th h1 h2 h3 h4 h5 h6 section article table".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 KEPT = frozenset("h1 a td th tr table span div b dt dd".split())
 # ------------------------------------------------------------------------------------------------------
@@ -66,7 +66,7 @@ class _Elements(HTMLParser):
         self.count = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.pieces.append((False, "\n" if tag in BLOCK else " "))
+        self.pieces.append((False, "\n" if tag in BLOCK_TAGS else " "))
         up = self.stack[-1] if self.stack else {}
         a = {k: v or "" for k, v in attrs}
         classes = a.get("class", "").split()

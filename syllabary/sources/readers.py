@@ -12,8 +12,9 @@ from syllabary.functions import paths as path_functions
 from syllabary.functions import urls
 from syllabary.plans.load import MODULE_DDL
 
-SNAPSHOT_DDL = """created_at string, count long, faculties array<struct<prefix int, name string>>,
-    modules array<struct<name string, url string, path string>>"""
+FACULTY_DDL = "prefix int, name string"
+SNAPSHOT_META_DDL = f"created_at string, count long, faculties array<struct<{FACULTY_DDL}>>"
+SNAPSHOT_DDL = f"{SNAPSHOT_META_DDL}, modules array<struct<name string, url string, path string>>"
 WARNING_DDL = "ts double, kind string, message string, context map<string,string>"
 SIDECAR_DDL = "url string, status int, fetched_at double, headers map<string,string>"
 LINK_DDL = "name string, url string, path string"
@@ -21,14 +22,24 @@ PATH_ITEMS_DDL = "items array<struct<path: array<array<string>>>>"
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """(name, url, path) of a crawl snapshot; a bare list of modules is read as well."""
+    """(name, url, path) of a snapshot that `write_snapshot` wrote: JSON lines, which split over tasks."""
+    return read_module_links(spark, f"{path}/modules")
+
+
+def read_snapshot_meta(spark: SparkSession, path: str) -> DataFrame:
+    """One row (created_at, count, faculties) of a snapshot that `write_snapshot` wrote."""
+    return spark.read.schema(SNAPSHOT_META_DDL).json(f"{path}/meta")
+
+
+def import_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """(name, url, path) of one pretty-printed snapshot file, wrapped or a bare list. One task parses a file: for import only."""
     whole = spark.read.option("multiLine", True).schema(f"{SNAPSHOT_DDL}, {LINK_DDL}").json(path)
     wrapped = whole.where("modules is not null").select(F.inline("modules"))
     bare = whole.where("modules is null and name is not null").select("name", "url", "path")
     return wrapped.unionByName(bare).withColumn("path", path_functions.parse_paths(F.col("path")))
 
 
-def read_snapshot_faculties(spark: SparkSession, path: str) -> DataFrame:
+def import_snapshot_faculties(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(SNAPSHOT_DDL).json(path).select(F.inline("faculties"))
 
 
@@ -58,8 +69,8 @@ def read_page_store(spark: SparkSession, root: str) -> DataFrame:
     """
     digest = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.", 1)
     html = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").option("recursiveFileLookup", True)
-        .text(root).select(digest.alias("page_id"), F.col("value").alias("html"))
+        spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", True)
+        .text(root, wholetext=True).select(digest.alias("page_id"), F.col("value").alias("html"))
     )
     sidecars = (
         spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json")

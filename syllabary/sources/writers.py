@@ -25,8 +25,21 @@ def flat_columns(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
-    """CSV with a header; an empty result writes no rows."""
-    flat_columns(df).write.mode("overwrite").csv(path, header=True, sep=separator, nullValue="", emptyValue="")
+    """CSV in two parts: ``<path>/header`` with one line, and ``<path>/rows`` in part files without header.
+
+    Quotes inside a cell are doubled. Read in this order, the files are one CSV file; an empty result has no header either.
+    """
+    flat = flat_columns(df)
+    rows = f"{path}/rows"
+    flat.write.mode("overwrite").csv(rows, header=False, sep=separator, nullValue="", emptyValue="", quote='"', escape='"')
+    some = not df.sparkSession.read.text(rows).isEmpty()
+    names = [(name,) for name in ([separator.join(_cell(c, separator) for c in flat.columns)] if some else [])]
+    df.sparkSession.createDataFrame(names, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
+def _cell(name: str, separator: str) -> str:
+    quoted = name.replace('"', '""')
+    return f'"{quoted}"' if any(c in name for c in (separator, '"', "\n", "\r")) else name
 
 
 def envelope(rows: DataFrame, counted: DataFrame, page: int | None = None, page_size: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -42,12 +55,24 @@ def write_envelope(rows: DataFrame, counted: DataFrame, path: str, page: int | N
     items.write.mode("overwrite").text(f"{path}/items")
 
 
-def write_snapshot(links: DataFrame, root: str, stamp: str | None = None) -> str:
-    """A dated copy that is never overwritten, and the latest one."""
-    stamp = stamp or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-    dated = f"{root}/modules_{stamp}"
-    links.write.mode("errorifexists").json(dated)
-    links.sparkSession.read.schema(links.schema).json(dated).write.mode("overwrite").json(f"{root}/modules_latest")
+def write_snapshot(links: DataFrame, root: str, stamp: str | None = None, faculties: DataFrame | None = None) -> str:
+    """A dated copy that is never overwritten, and the latest one: ``modules`` and ``meta`` as JSON lines.
+
+    ``meta`` is the envelope of the crawl: created_at, count and the faculties it found (prefix, name).
+    """
+    now = dt.datetime.now(dt.timezone.utc)
+    dated, latest = f"{root}/modules_{stamp or now.strftime('%Y%m%dT%H%M%SZ')}", f"{root}/modules_latest"
+    spark = links.sparkSession
+    links.write.mode("errorifexists").json(f"{dated}/modules")
+    written = spark.read.schema(links.schema).json(f"{dated}/modules")
+    found = faculties.select("prefix", "name") if faculties is not None else spark.createDataFrame([], "prefix int, name string")
+    # Faculties are a handful by nature: they are the top nodes of one catalogue.
+    listed = found.agg(F.array_sort(F.collect_list(F.struct("prefix", "name"))).alias("faculties"))
+    counted = written.agg(F.count(F.lit(1)).alias("count")).join(listed)
+    meta = counted.select(F.lit(now.strftime("%Y-%m-%dT%H:%M:%S")).alias("created_at"), "count", "faculties")
+    meta.write.mode("errorifexists").json(f"{dated}/meta")
+    written.write.mode("overwrite").json(f"{latest}/modules")
+    spark.read.schema(meta.schema).json(f"{dated}/meta").write.mode("overwrite").json(f"{latest}/meta")
     return dated
 
 
@@ -70,9 +95,13 @@ def write_degree_csv(found: DataFrame, path: str) -> None:
 
 
 def write_modules_json(found: DataFrame, path: str, key: str = "idx") -> None:
-    """Extraction results as JSON lines, partitionable by item: (item, result) rows in item order."""
-    result = F.struct(*[c for c in found.columns if c != key]).alias("result")
-    found.select(key, result).write.mode("overwrite").json(path)
+    """Extraction results as JSON lines, one line per item with the list of its results.
+
+    The list is that of one module's distinct paths.
+    """
+    result = F.struct(*[c for c in found.columns if c != key])
+    per_item = found.groupBy(key).agg(F.array_sort(F.collect_list(result)).alias("results"))
+    per_item.write.mode("overwrite").json(path)
 
 
 def append_rejects(rejects: DataFrame, path: str) -> None:

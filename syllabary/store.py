@@ -52,8 +52,13 @@ def empty_store(spark: SparkSession) -> Store:
 
 
 def write_store(store: Store, root: str, mode: str = "overwrite") -> None:
-    """One Parquet folder per table. Events are laid out by month, the unit of the date windows."""
-    for name, df in store.tables.items():
+    """One Parquet folder per table; those that the store lacks are written empty, so that `read_store` finds all of them.
+
+    Events are laid out by month, the unit of the date windows.
+    """
+    spark = next(iter(store.tables.values())).sparkSession
+    missing = {n: df for n, df in empty_store(spark).tables.items() if n not in store}
+    for name, df in (missing | dict(store.tables)).items():
         writer = df
         if name == "event":
             writer = df.withColumn("event_month", F.trunc("event_date", "MM"))
