@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from syllabary.functions import dates, paths, text
 from syllabary.operators.aggregates import counter
 from syllabary.operators.ordering import largest
+from syllabary.session import checkpointed
 from syllabary.sources import pages as P
 from syllabary.store import Store
 
@@ -144,6 +145,7 @@ def raw_session_rows(els: DataFrame) -> DataFrame:
 
 def event_detection(els: DataFrame) -> DataFrame:
     """Per page with session rows: raw rows, kept rows, NULL fields of kept rows and a verdict."""
+    els = checkpointed(els.where("tag = 'td' and tr is not null"))  # pages are read once
     kept = P.sessions(els).groupBy("page_id").agg(
         F.count(F.lit(1)).alias("kept"), _count(F.col("event_date").isNull(), "null_date"),
         _count(F.col("start_min").isNull(), "null_start"), _count(F.col("end_min").isNull(), "null_end"),
@@ -167,6 +169,7 @@ def duplicate_labels(labels: DataFrame) -> DataFrame:
 
 def module_capture(els: DataFrame) -> DataFrame:
     """One row of totals: repeated labels, raw and extracted exam and achievement rows, unreadable exam dates."""
+    els = checkpointed(els)  # pages are read once, and the counts read their columns of the elements
     labels = P.module_labels(els)
     exam_rows = P.exams(els)
     raw = els.where("tag = 'tr' and tbl is not null")
@@ -224,6 +227,7 @@ def course_field_capture(els: DataFrame) -> DataFrame:
 
 def course_capture(els: DataFrame) -> DataFrame:
     """Totals: multi-room rows, dates and times that are there but unreadable, suspect staff, changed fields."""
+    els = checkpointed(els)  # pages are read once
     rows = P.sessions(els)
     suspect = rows.select(F.explode("staff").alias("s")).where(
         F.col("s").rlike("(?U)" + text.TIME_ONLY) | F.col("s").rlike("(?U)" + text.DATE_ONLY) | F.col("s").contains("Termin")

@@ -25,7 +25,8 @@ def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per event: a header, a staff field and a session table with one row."""
     e = table(spark, sf_dir, "events")
     room = F.when(F.col("event_type") == "error", F.lit("")).otherwise(
-        _html('<a name="appointmentRooms" href="r"><span>Room ', F.col("user_id") % 25, "</span></a>"))
+        _html('<a name="appointmentRooms" href="r"><span>Room ', F.col("user_id") % 25, "</span></a>",
+              F.when(F.col("user_id") % 4 == 0, _html("<span>Annex ", F.col("user_id") % 3, "</span>")).otherwise("")))
     end = F.when(F.col("event_type") == "view", F.lit("25:10")).otherwise(F.lit("24:00"))
     html = _html(
         "<h1>K", F.col("event_id"), " Course ", F.col("event_type"), '</h1><form><div id="contentlayoutleft"><div class="tbdata"><b>Lehrende:</b> <span>P',
@@ -108,9 +109,10 @@ add(
     "SELECT event_id AS page_id, concat('K', event_id) AS number, concat('Course ', event_type) AS name, event_type AS type, concat('P', user_id, '|Q') AS staff FROM events",
 )
 add(
-    "pages_sessions", _courses(lambda e: P.sessions(e).select(ID, "number", "event_date", "start_min", F.coalesce("end_min", F.lit(-1)).alias("end_min"), "room", F.array_join("staff", "|").alias("staff"))),
+    "pages_sessions", _courses(lambda e: P.sessions(e).select(ID, "number", "event_date", "start_min", F.coalesce("end_min", F.lit(-1)).alias("end_min"), "room", F.array_join("rooms", "|").alias("rooms"), F.array_join("staff", "|").alias("staff"))),
     """SELECT event_id AS page_id, '1' AS number, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, CAST(hour(ts) * 60 + minute(ts) AS INT) AS start_min,
               CASE WHEN event_type = 'view' THEN -1 ELSE 1439 END AS end_min, CASE WHEN event_type = 'error' THEN '' ELSE concat('Room ', user_id % 25) END AS room,
+              CASE WHEN event_type = 'error' THEN '' WHEN user_id % 4 = 0 THEN concat('Room ', user_id % 25, '|Annex ', user_id % 3) ELSE concat('Room ', user_id % 25) END AS rooms,
               concat('P', user_id, '|P', user_id + 1) AS staff FROM events""",
 )
 add(
@@ -162,7 +164,7 @@ add(
 )
 add(
     "rec_course_capture", _courses(R.course_capture),
-    """SELECT what, CAST(n AS BIGINT) AS n FROM (SELECT 'session_rows' AS what, count(*) AS n FROM events UNION ALL SELECT 'multi_room_rows', 0 UNION ALL SELECT 'unreadable_dates', 0
+    """SELECT what, CAST(n AS BIGINT) AS n FROM (SELECT 'session_rows' AS what, count(*) AS n FROM events UNION ALL SELECT 'multi_room_rows', count(*) FROM events WHERE event_type <> 'error' AND user_id % 4 = 0 UNION ALL SELECT 'unreadable_dates', 0
        UNION ALL SELECT 'unreadable_times', count(*) FROM events WHERE event_type = 'view' UNION ALL SELECT 'suspect_staff', 0
        UNION ALL SELECT 'changed_fields', 0 UNION ALL SELECT 'course_pages', count(*) FROM events)""",
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,17 +52,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "syl
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder the cluster names; executors may be lost afterwards.
+    """``df`` written to the folder the cluster names and read again: its work is done once, and executors may be lost.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset and the session is
-    local (tests) a fresh temporary folder is used.
+    The folder comes from ``spark.checkpoint.dir``. Only where that is unset and the session is one process
+    (tests) a fresh temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="syllabary-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from syllabary.functions import dates, text, urls
 from syllabary.functions.text import BLOCK_TAGS
 from syllabary.operators.aggregates import counter
+from syllabary.session import checkpointed
 
 # Workers get the functions themselves, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -306,7 +307,10 @@ def _cells(els: DataFrame) -> DataFrame:
 
 
 def sessions(els: DataFrame) -> DataFrame:
-    """Session rows: number, date, times, room and staff, by cell names or else by position."""
+    """Session rows: number, date, times, rooms and staff, by cell names or else by position.
+
+    ``room`` is the first of ``rooms``, '' if there is none.
+    """
     cells = _cells(els)
     values = F.col("cell_values")
     room = F.coalesce(text.squeeze(F.get(values, 0)), F.lit(""))
@@ -329,13 +333,14 @@ def sessions(els: DataFrame) -> DataFrame:
         return F.when(F.col("semantic"), F.col(named)).otherwise(F.col(placed))
 
     date_text, start_text, end_text = choose("n_date", "p1"), choose("n_start", "p2"), choose("n_end", "p3")
+    all_rooms = F.coalesce(choose("n_rooms", "p_rooms"), F.array().cast("array<string>"))
     return rows.select(
         "page_id", "tr", F.col("p0").alias("number"), date_text.alias("date_text"), start_text.alias("start_text"),
         end_text.alias("end_text"), dates.german_date(date_text).alias("event_date"),
         dates.clock_minutes(start_text).alias("start_min"), dates.clock_minutes(end_text).alias("end_min"),
         F.coalesce(choose("n_room", "p4"), F.lit("")).alias("room"),
         text.clean_staff(choose("n_staff", "p5")).alias("staff"),
-        F.size(F.coalesce(choose("n_rooms", "p_rooms"), F.array().cast("array<string>"))).alias("n_rooms"),
+        F.filter(F.transform(all_rooms, text.squeeze), lambda x: x != "").alias("rooms"), F.size(all_rooms).alias("n_rooms"),
     )
 
 
@@ -423,6 +428,7 @@ def course_exams(els: DataFrame) -> DataFrame:
 
 def module_rows(els: DataFrame) -> DataFrame:
     """One flat row per module page, typed as the load expects it (without courses, exams, achievements)."""
+    els = checkpointed(els.where("tag = 'h1' or label is not null"))  # pages are read once
     joined = headers(els).join(module_fields(els), "page_id", "left")
     blank = {f: F.coalesce(F.col(f), F.lit("")) for f in MODULE_LABELS.values()}
     joined = joined.withColumns(blank)
