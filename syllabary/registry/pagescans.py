@@ -23,7 +23,7 @@ def _html(*parts: str | Column) -> Column:
 
 def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per event: a header, a staff field and a session table with one row."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").repartition("event_id")  # pages are costly to make and read: dealt at any size
     room = F.when(F.col("event_type") == "error", F.lit("")).otherwise(
         _html('<a name="appointmentRooms" href="r"><span>Room ', F.col("user_id") % 25, "</span></a>",
               F.when(F.col("user_id") % 4 == 0, _html("<span>Annex ", F.col("user_id") % 3, "</span>")).otherwise("")))
@@ -42,7 +42,7 @@ def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def module_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order: fields, requirement lines, an exam row and an achievement row."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").repartition("o_orderkey")
 
     def field(label: str, value: Column) -> Column:
         return _html(f'<div><span class="font-semibold break-all">{label}:</span> <div>', value, "</div></div>")
