@@ -2,64 +2,146 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tiktoken_ext.openai_public import r50k_pat_str
 
 from .common import running, stored
 from .linking import slices
 
 #: Encoded words that a Python worker remembers; at more it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 SLICE = 2_000_000
+#: Words that are encoded in one call.
+TOGETHER = 2_000
+
+
+def _merger(spec: dict) -> tuple[tiktoken.Encoding | None, list[str]]:
+    """The merges of a tokenizer file for a faster merging library, and the strings that only the tokenizer itself reads.
+
+    A plain byte-level BPE, whose ids are in the order of its merges, has the same ids there; any other file has none.
+    """
+    model, split, added = spec["model"], spec["pre_tokenizer"] or {}, [x["content"] for x in spec["added_tokens"]]
+    plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+    if not plain or spec["normalizer"] or model.get("ignore_merges") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+        return None, added
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if len(ranks) != 256 + len(merges) or any(model["vocab"][m] != 256 + i for i, m in enumerate(merges)):
+        return None, added
+    return tiktoken.Encoding("merges", pat_str=r50k_pat_str, mergeable_ranks=ranks, special_tokens={}), added
 
 
 class Encoder:
     """Token ids as little-endian 32-bit bytes, encoding each distinct word once.
 
     The pre-tokenizer of the vocabulary never crosses a single blank between two characters that aren't white space (the
-    blank goes with what follows it), so a text cut there gives the ids of the whole text. Other white space isn't cut.
+    blank goes with what follows it), so a text cut there gives the ids of the whole text. Nor does it cross a line feed
+    between two such words, so many words are encoded in one call, and the line feed's id tells them apart.
+    In the keys, a word without a mark follows a blank, one marked by a line feed follows a line feed, and one marked by
+    two is the first of its text.
     """
 
-    APART = re.compile(r"(?<=[^\s]) (?=[^\s])")
-    DOUBLE = re.compile(r"\s\s")
+    LINES = re.compile(r"(?<=\S)\n(?=\S)")
+    APART = re.compile(r"(?<=\S) (?=\S)")
+    PLAIN = re.compile(r"\S+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        first, *rest = self.APART.split(text) if self.DOUBLE.search(text) else text.split(" ")
-        return [first, *(" " + x for x in rest)]
+        self.merger, self.added = _merger(json.loads(self.tokenizer.to_str()))
+        self.line_feed = self.ids("\n")
+        self.known: dict[str, bytes | None] = {}
+        self.odd: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        if self.merger and not any(x in text for x in self.added):
+            return np.array(self.merger.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def read(key: str) -> tuple[int, str]:
+        """The length of a key's mark, and the text that it stands for (without a line feed before it)."""
+        mark = 2 if key[:2] == "\n\n" else 1 if key[:1] == "\n" else 0
+        return mark, key[mark:] if mark else " " + key
+
+    def learn(self, parts: set[str]) -> None:
+        """Encodes words; a part that holds white space isn't one, and stays without ids."""
+        words = []
+        for part in parts:
+            mark, word = self.read(part)
+            if self.PLAIN.fullmatch(part, mark):
+                words.append((part, word, self.line_feed if mark == 1 else b""))
+            else:
+                self.known[part] = None
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            found = self.ids("\n".join(w for _, w, _ in some))
+            cuts = 4 * np.flatnonzero(np.frombuffer(found, "<u4") == np.frombuffer(self.line_feed, "<u4")[0])
+            if len(self.line_feed) != 4 or len(cuts) != len(some) - 1:  # another kind of vocabulary
+                self.known.update((part, ahead + self.ids(word)) for part, word, ahead in some)
+                continue
+            for (part, _, ahead), a, b in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(found)], strict=True):
+                self.known[part] = ahead + found[a:b]
+
+    def part(self, part: str) -> bytes:
+        found = self.known.get(part) or self.odd.get(part)
+        if found is None:
+            mark, word = self.read(part)
+            found = self.odd[part] = (self.line_feed if mark == 1 else b"") + self.ids(word)
+        return found
+
+    def spaced(self, text: str) -> bytes:
+        """A text with more white space than single blanks and line feeds between words."""
+        parts = []
+        for i, line in enumerate(self.LINES.split(text)):
+            first, *rest = self.APART.split(line)
+            parts += [("\n" if i else "\n\n") + first, *rest]
+        return b"".join(map(self.part, parts))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.words(t) for t in texts]
+        split = [("\n\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+        if len(self.odd) > REMEMBERED // 10:
+            self.odd.clear()
+        self.learn(set().union(*split).difference(self.known))
+        for text, parts in zip(texts, split, strict=True):
+            try:
+                yield b"".join(map(self.known.__getitem__, parts))
+            except TypeError:
+                yield self.spaced(text)
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which outlives a task. This module comes with each task anew, so it is kept aside."""
+    kept = sys.modules.setdefault("_syllabary_worker", types.ModuleType("_syllabary_worker")).__dict__
+    if ("encoder", path) not in kept:
+        kept["encoder", path] = Encoder(path)
+    return kept["encoder", path]
 
 
 def _cut(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = batch.column(0)
