@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import stages
 from .ann import search
 from .fuzzy_lines import fuzzy_lines
-from .mixing import pareto_mix
+from .mixing import CORRECTIONS, pareto_mix
 from .naming import exact_dedup
 from .ngram_join import ngram_join
 from .packing import pack
@@ -30,6 +30,53 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
+def _correction(k: int) -> str:
+    """The step of the mix that adds or gives back one document per source, from e<k> to e<k + 1>."""
+    step = "CASE WHEN extra = 0 THEN size ELSE -size END"
+    return f"""
+), g{k} AS (
+  SELECT source, max(rest) - sum(extra * size) AS gap FROM e{k} WHERE chance > 0 GROUP BY source
+), b{k} AS (
+  SELECT e.source, min(struct_pack(off := abs(gap - {step}), r := rank, d := doc_id)) AS best
+  FROM e{k} e JOIN g{k} g ON e.source IS NOT DISTINCT FROM g.source
+  WHERE size > 0 AND abs(gap - {step}) < abs(gap) GROUP BY e.source
+), e{k + 1} AS (
+  SELECT e.* REPLACE (CASE WHEN best IS NOT NULL THEN 1 - extra ELSE extra END AS extra)
+  FROM e{k} e LEFT JOIN b{k} b ON e.source IS NOT DISTINCT FROM b.source AND e.rank = best.r AND e.doc_id IS NOT DISTINCT FROM best.d"""
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0, 2.0, 1.0][((place - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s
+), r AS (
+  SELECT *, cap / weight AS full_at,
+         (sum(source_size) OVER () * 1.5::DOUBLE - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS rate
+  FROM w WINDOW o AS (ORDER BY cap / weight, place)
+), t AS (
+  SELECT source, source_size, least(weight * (SELECT min_by(rate, full_at) FROM r WHERE rate <= full_at), cap) AS target FROM w
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t
+), q AS (
+  SELECT *, floor(ratio)::BIGINT AS sure, ratio - floor(ratio) AS chance FROM p
+), o AS (
+  SELECT d.*, source_size, target, sure, chance, target - sure * source_size AS rest,
+         (u / (1 - u)) / (greatest(chance, 1e-12::DOUBLE) / (1 - greatest(chance, 1e-12::DOUBLE))) AS rank
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), e0 AS (
+  SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE <= rest
+             AND size > 0 AND chance > 0)::BIGINT AS extra
+  FROM o""" + "".join(map(_correction, range(CORRECTIONS))) + f"""
+)
+SELECT doc_id, source, size, source_size, target, sure + extra AS copies, (sure + extra) * size AS taken FROM e{CORRECTIONS}
+"""
+
+
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf_dir, "documents"))
 
@@ -155,6 +202,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_mixing": OP2_SQL,
     "op4_url_lists": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
