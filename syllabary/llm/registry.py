@@ -107,7 +107,9 @@ def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     for action, number in steps:
         entries = entries.unionByName(chosen.select(F.col("host").alias("pattern"), F.lit(action).alias("action"), _day(number).alias("day")))
-    return judge(captures, entries)
+    judged = judge(captures, entries)
+    # Days as ISO text, so that both sides show them alike.
+    return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "held_from")})
 
 
 OP4_SQL = r"""
@@ -138,7 +140,7 @@ WITH parts AS (
   UNION ALL
   SELECT page_id, fetched_on, host || '/' || array_to_string(segments[:k], '/') || '/', 127 + k
   FROM (SELECT *, unnest(range(1, least(len(segments), 8) + 1)) AS k
-        FROM (SELECT *, list_filter(string_split(path, '/'), x -> x <> '') AS segments FROM parts WHERE host IS NOT NULL))
+        FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments FROM parts WHERE host IS NOT NULL))
 ), met AS (
   SELECT a.page_id, a.pattern, a.depth, h.action, h.held_from
   FROM asked a JOIN held h ON a.pattern = h.pattern AND h.held_from <= a.fetched_on AND (h.held_until IS NULL OR a.fetched_on < h.held_until)
@@ -148,7 +150,8 @@ WITH parts AS (
          arg_max(held_from, depth) AS held_from
   FROM met GROUP BY page_id
 )
-SELECT p.page_id AS capture_id, p.fetched_on, coalesce(b.action, 'none') AS verdict, b.pattern, b.held_from,
+SELECT p.page_id AS capture_id, CAST(p.fetched_on AS VARCHAR) AS fetched_on, coalesce(b.action, 'none') AS verdict, b.pattern,
+       CAST(b.held_from AS VARCHAR) AS held_from,
        coalesce(b.n_holding, 0) AS n_holding
 FROM parts p LEFT JOIN best b USING (page_id)
 """
