@@ -83,58 +83,60 @@ def _modules(run):
     return lambda spark, d: run(P.elements(module_pages(spark, d)))
 
 
-ID = F.col("page_id").cast("long").alias("page_id")
+def _id() -> Column:
+    return F.col("page_id").cast("long").alias("page_id")
+
 
 add(
     "pages_classify", lambda spark, d: P.kinds(course_pages(spark, d).unionByName(module_pages(spark, d))),
     "SELECT 'COURSEDETAILS' AS kind, count(*) AS n FROM events UNION ALL SELECT 'MODULEDETAILS', count(*) FROM orders",
 )
-add("pages_header_given", lambda spark, d: P.headers(given(spark, d)).select(ID, "header"))
+add("pages_header_given", lambda spark, d: P.headers(given(spark, d)).select(_id(), "header"))
 add(
-    "pages_header", _modules(lambda e: P.headers(e).select(ID, "number", "name", "malformed")),
+    "pages_header", _modules(lambda e: P.headers(e).select(_id(), "number", "name", "malformed")),
     "SELECT o_orderkey AS page_id, concat('10-', o_orderkey) AS number, concat('Module', o_orderpriority) AS name, FALSE AS malformed FROM orders",
 )
-add("pages_links_given", lambda spark, d: P.links(given(spark, d)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).select(ID, "n"))
+add("pages_links_given", lambda spark, d: P.links(given(spark, d)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).select(_id(), "n"))
 add(
-    "pages_links", _modules(lambda e: P.course_links(e).select(ID, "href", "text")),
+    "pages_links", _modules(lambda e: P.course_links(e).select(_id(), "href", "text")),
     "SELECT o_orderkey AS page_id, concat('/x?PRGNAME=COURSEDETAILS&n=', o_custkey) AS href, 'a' AS text FROM orders",
 )
 add(
-    "pages_labels", _modules(lambda e: P.module_rows(e).select(ID, "number", "credits", "duration_semesters", F.element_at("prerequisites", F.lit("A")).alias("a"), F.element_at("prerequisites", F.lit("B (x: y)")).alias("b"), F.element_at("prerequisites", F.lit("allgemein")).alias("general"))),
+    "pages_labels", _modules(lambda e: P.module_rows(e).select(_id(), "number", "credits", "duration_semesters", F.element_at("prerequisites", F.lit("A")).alias("a"), F.element_at("prerequisites", F.lit("B (x: y)")).alias("b"), F.element_at("prerequisites", F.lit("allgemein")).alias("general"))),
     """SELECT o_orderkey AS page_id, concat('10-', o_orderkey) AS number, o_custkey % 30 + 0.5 AS credits, CAST(o_custkey % 3 AS INT) AS duration_semesters,
               CAST(o_custkey AS VARCHAR) AS a, 'z' AS b, concat('free ', o_orderstatus) AS general FROM orders""",
 )
 add(
-    "pages_course_labels", _courses(lambda e: P.course_rows(e).select(ID, "number", "name", "type", F.array_join("staff", "|").alias("staff"))),
+    "pages_course_labels", _courses(lambda e: P.course_rows(e).select(_id(), "number", "name", "type", F.array_join("staff", "|").alias("staff"))),
     "SELECT event_id AS page_id, concat('K', event_id) AS number, concat('Course ', event_type) AS name, event_type AS type, concat('P', user_id, '|Q') AS staff FROM events",
 )
 add(
-    "pages_sessions", _courses(lambda e: P.sessions(e).select(ID, "number", "event_date", "start_min", F.coalesce("end_min", F.lit(-1)).alias("end_min"), "room", F.array_join("rooms", "|").alias("rooms"), F.array_join("staff", "|").alias("staff"))),
+    "pages_sessions", _courses(lambda e: P.sessions(e).select(_id(), "number", "event_date", "start_min", F.coalesce("end_min", F.lit(-1)).alias("end_min"), "room", F.array_join("rooms", "|").alias("rooms"), F.array_join("staff", "|").alias("staff"))),
     """SELECT event_id AS page_id, '1' AS number, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, CAST(hour(ts) * 60 + minute(ts) AS INT) AS start_min,
               CASE WHEN event_type = 'view' THEN -1 ELSE 1439 END AS end_min, CASE WHEN event_type = 'error' THEN '' ELSE concat('Room ', user_id % 25) END AS room,
               CASE WHEN event_type = 'error' THEN '' WHEN user_id % 4 = 0 THEN concat('Room ', user_id % 25, '|Annex ', user_id % 3) ELSE concat('Room ', user_id % 25) END AS rooms,
               concat('P', user_id, '|P', user_id + 1) AS staff FROM events""",
 )
 add(
-    "pages_cells", _courses(lambda e: e.where("tag = 'td' and name = 'appointmentInstructors'").select(ID, F.array_join("cell_values", "|").alias("cell"))),
+    "pages_cells", _courses(lambda e: e.where("tag = 'td' and name = 'appointmentInstructors'").select(_id(), F.array_join("cell_values", "|").alias("cell"))),
     "SELECT event_id AS page_id, concat('P', user_id, '|P', user_id + 1) AS cell FROM events",
 )
 add(
-    "pages_course_exams", _courses(lambda e: P.course_exams(e).select(ID, "name", P.dates.german_date(F.col("date_text")).alias("day"))),
+    "pages_course_exams", _courses(lambda e: P.course_exams(e).select(_id(), "name", P.dates.german_date(F.col("date_text")).alias("day"))),
     "SELECT event_id AS page_id, 'Test' AS name, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events",
 )
 add(
-    "pages_exams", _modules(lambda e: P.exams(e).select(ID, "name", "date", F.coalesce("start_min", F.lit(-1)).alias("start_min"), "required")),
+    "pages_exams", _modules(lambda e: P.exams(e).select(_id(), "name", "date", F.coalesce("start_min", F.lit(-1)).alias("start_min"), "required")),
     """SELECT o_orderkey AS page_id, concat('Exam ', o_orderstatus) AS name, CASE WHEN o_orderstatus = 'O' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date,
               CASE WHEN o_orderstatus = 'O' THEN 510 ELSE -1 END AS start_min, TRUE AS required FROM orders""",
 )
 add(
-    "pages_achievements", _modules(lambda e: P.achievements(e).select(ID, "name", "required", "weight", "combination")),
+    "pages_achievements", _modules(lambda e: P.achievements(e).select(_id(), "name", "required", "weight", "combination")),
     """SELECT o_orderkey AS page_id, concat('Paper ', o_orderstatus) AS name, o_orderstatus = 'O' AS required, o_custkey % 5 + 0.5 AS weight,
               CASE WHEN o_orderstatus = 'O' THEN 'Ja' ELSE 'Nein' END AS combination FROM orders""",
 )
 add(
-    "pages_rooms", lambda spark, d: P.rooms(P.elements(room_pages(spark, d))).select(ID, "name", "seats", "size", F.col("building.name").alias("building"), F.col("building.address").alias("address")),
+    "pages_rooms", lambda spark, d: P.rooms(P.elements(room_pages(spark, d))).select(_id(), "name", "seats", "size", F.col("building.name").alias("building"), F.col("building.address").alias("address")),
     """SELECT s_suppkey AS page_id, s_name AS name, CAST(s_suppkey AS INT) AS seats, s_nationkey + 0.5 AS size, concat('House ', s_nationkey) AS building,
               concat('Street ', s_nationkey, ', City') AS address FROM supplier""",
 )
@@ -142,7 +144,7 @@ add(
 
 def _room_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(text.room_key(F.col("s_name")).alias("key"))
-    return P.room_index(P.rooms(P.elements(room_pages(spark, sf_dir))), known).select(ID, "key")
+    return P.room_index(P.rooms(P.elements(room_pages(spark, sf_dir))), known).select(_id(), "key")
 
 
 add("room_page_index", _room_index, "SELECT s_suppkey AS page_id, sha1(lower(s_name)) AS key FROM supplier WHERE s_nationkey >= 5")
@@ -189,7 +191,7 @@ add(
        (SELECT 1) y, LATERAL (SELECT CASE WHEN label = 'Teilnahmevoraussetzungen' THEN 'FLATTENED' ELSE 'OK' END AS verdict) GROUP BY 1, 2""",
 )
 add(
-    "rec_time_values", _courses(lambda e: R.impossible_times(e).select(ID, "kind", "value", "n")),
+    "rec_time_values", _courses(lambda e: R.impossible_times(e).select(_id(), "kind", "value", "n")),
     "SELECT event_id AS page_id, 'time' AS kind, CASE WHEN event_type = 'view' THEN '25:10' ELSE '24:00' END AS value, CAST(1 AS BIGINT) AS n FROM events",
 )
 add(
