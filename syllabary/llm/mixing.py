@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +21,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on the id and the seed only: 52 bits of an MD5."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13)
+def uniform(doc_id: Column, nth: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on the id, the row's number and the seed only: 52 bits of an MD5."""
+    row = F.when(nth > 1, F.concat(F.lit("#"), nth.cast("string"))).otherwise("")
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), row)), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**52)
 
 
+def numbered(rows: DataFrame, doc_id: Column, order: Mapping[str, Column], column: str) -> DataFrame:
+    """``rows`` with ``column``: the number of the row, from 1, among those of its doc_id by ``order``; null is one id.
+
+    So (doc_id, number) is a key of the row. Rows that agree in ``order`` are numbered in any way. Only rows without doc_id
+    or with a repeated one are dealt, by ranges, as one id may hold many of them.
+    """
+    several = rows.groupBy(doc_id.alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or _again is null")
+    again = stored(several.select("_again"), "repeated")
+    if again.isEmpty():
+        return rows.withColumn(column, F.lit(1).cast("long"))
+    repeated = again.where("_again is not null")
+    once = rows.where(doc_id.isNotNull()).join(repeated, doc_id == F.col("_again"), "left_anti").withColumn(column, F.lit(1).cast("long"))
+    odd = rows.where(doc_id.isNull()).unionByName(rows.join(repeated, doc_id == F.col("_again"), "left_semi"))
+    keyed = odd.select("*", doc_id.alias("_same"), *(c.alias(k) for k, c in order.items()), F.monotonically_increasing_id().alias("_at"))
+    placed = running(keyed, [*order, "_at"], {column: F.lit(1)}, within=["_same"], name="numbered")
+    return once.unionByName(placed.select(*(F.col(f"`{c}`") for c in rows.columns), column))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, limit: float) -> DataFrame:
     """``sizes`` (source, source_size) with the target of each source.
 
@@ -63,23 +82,27 @@ def pareto_mix(
     limit: float = LIMIT,
     corrections: int = CORRECTIONS,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (copies times size).
+    """One row per document: doc_id, nth, source, size, source_size, target, copies, taken (copies times size).
 
     A source's target over its size gives each document its expected copies. Their whole part is certain. The rest is
     an inclusion probability, and documents are ranked by their random odds divided by the odds of inclusion (Pareto order
     sampling): in each source, those whose middle word lies within what the target has left, in this order, get one copy more.
     Then the single document that brings the source closest to its target is added or given back, at most
-    ``corrections`` times; ties go to the least rank. Random numbers come from doc_id and seed, so reruns agree.
+    ``corrections`` times; ties go to the least rank. Random numbers come from doc_id, nth and seed, so reruns agree.
 
-    Null text has size 0; documents of size 0 are taken 0 words. Null sources are one source, the last. Repeated rows and
-    null ids share a random number and are separate documents, in any order. Other columns are not read; an empty table gives no rows.
+    Null text has size 0; documents of size 0 are taken 0 words. Null sources are one source, the last. Rows without doc_id
+    or repeating one are documents of their own: nth numbers the rows of an id by source, size and text (1 where the id is
+    unique), and (doc_id, nth) is the key of a row. Other columns are not read; an empty table gives no rows.
     """
     rows = stored(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+            F.xxhash64("text").alias("_text"),
         ),
         "sizes",
     )
+    by_text = {"_source": F.col("source"), "_size": F.col("size"), "_hash": F.col("_text")}
+    keyed = numbered(rows, F.col("doc_id"), by_text, "nth").drop("_text")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = stored(targets(sizes, weights, share, limit), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -87,10 +110,10 @@ def pareto_mix(
         F.col("source").alias("_source"), "source_size", "target",
         F.floor(ratio).cast("long").alias("_sure"), (ratio - F.floor(ratio)).alias("_chance"),
     )
-    chance, u = F.greatest(F.col("_chance"), F.lit(1e-12)), uniform(F.col("doc_id"), seed)
+    chance, u = F.greatest(F.col("_chance"), F.lit(1e-12)), uniform(F.col("doc_id"), F.col("nth"), seed)
     odds = (u / (1 - u)) / (chance / (1 - chance))
-    drawn = rows.join(planned, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_rank", odds)
-    ordered = running(drawn, ["_rank", "doc_id"], {"_upto": F.col("size")}, within=["source"], name="drawn")
+    drawn = keyed.join(planned, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_rank", odds)
+    ordered = running(drawn, ["_rank", "doc_id", "nth"], {"_upto": F.col("size")}, within=["source"], name="drawn")
     rest = F.col("target") - F.col("_sure") * F.col("source_size")
     taken = (F.col("_upto") - F.col("size") / 2 <= rest) & (F.col("size") > 0) & (F.col("_chance") > 0)
     current = stored(ordered.withColumn("_extra", taken.cast("long")).drop("_upto"), "drawn-0")
@@ -102,27 +125,32 @@ def pareto_mix(
         here = current.join(gaps, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         step = F.when(F.col("_extra") == 0, F.col("size")).otherwise(-F.col("size"))
         better = (F.col("size") > 0) & (F.abs(F.col("_gap") - step) < F.abs(F.col("_gap")))
-        best = here.where(better).groupBy("source").agg(
-            F.min(F.struct(F.abs(F.col("_gap") - step).alias("off"), F.col("_rank").alias("rank"), F.col("doc_id").alias("doc"))).alias("_best")
+        least = F.struct(F.abs(F.col("_gap") - step).alias("off"), F.col("_rank").alias("rank"), F.col("doc_id").alias("doc"), F.col("nth").alias("nth"))
+        best = here.where(better).groupBy("source").agg(F.min(least).alias("_best"))
+        chosen = best.select(
+            F.col("source").alias("_source"), F.col("_best.rank").alias("_r"), F.col("_best.doc").alias("_d"), F.col("_best.nth").alias("_k")
         )
-        chosen = best.select(F.col("source").alias("_source"), F.col("_best.rank").alias("_r"), F.col("_best.doc").alias("_d"))
-        match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_rank") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+        row = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("nth") == F.col("_k"))
+        match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_rank") == F.col("_r")) & row
         flipped = current.join(chosen, match, "left")
         extra = F.when(F.col("_r").isNotNull(), 1 - F.col("_extra")).otherwise(F.col("_extra"))
         current = stored(flipped.withColumn("_extra", extra).select(*current.columns), f"drawn-{k + 1}")
     copies = F.col("_sure") + F.col("_extra")
     return current.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "nth", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
 def mixed_rows(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its doc_id; all columns as they are.
+    """The rows of ``docs``, each as often as the mix takes it; all columns as they are.
 
-    Documents without words are not part of a mix by words and stay out. Rows that share a doc_id share its highest number
-    of copies, and rows without doc_id go.
+    Rows and mix meet by doc_id and the number of the row in it, so rows without doc_id or repeating one have copies of
+    their own. Documents without words are not part of a mix by words and stay out.
     """
-    times = mix.where("size > 0 and copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_times"))
-    joined = docs.join(times, docs["doc_id"] == times["_doc"])
+    doc_id = F.col("doc_id").cast("long")
+    times = mix.where("size > 0 and copies > 0").select(F.col("doc_id").alias("_doc"), F.col("nth").alias("_k"), F.col("copies").alias("_times"))
+    by_text = {"_source": F.col("source").cast("string"), "_size": word_count(F.col("text")), "_hash": F.xxhash64("text")}
+    rows = numbered(docs, doc_id, by_text, "_nth")
+    joined = rows.join(times, doc_id.eqNullSafe(F.col("_doc")) & (F.col("_nth") == F.col("_k")))
     repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))

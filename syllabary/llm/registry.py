@@ -27,7 +27,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pareto_mix(table(spark, sf_dir, "documents"))
+    return pareto_mix(table(spark, sf_dir, "documents")).drop("nth")
 
 
 def _correction(k: int) -> str:

@@ -205,3 +205,29 @@ def test_mixing_of_odd_tables(spark):
     assert {r["taken"] for r in pareto_mix(frame(spark, [(1, None, None, None, 0), (None, "", None, "a", 0)])).collect()} == {0}
     rows = [(1, "a b c", None, "s", 5)] * 2
     assert sum(r["taken"] for r in pareto_mix(frame(spark, rows)).collect()) in (6, 9, 12)
+
+
+def test_mixing_of_rows_without_own_id(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, source in enumerate(["a"] * 600 + ["b"] * 600 + ["c"] * 9000):
+        doc = None if i % 3 == 0 else 7 if i % 3 == 1 and source == "c" and i % 2 else i
+        rows.append((doc, " ".join(f"w{x}" for x in rng.integers(0, 1000, int(rng.integers(1, 40)))), "en", source, 1))
+    docs = frame(spark, rows)
+    got = pareto_mix(docs).collect()
+    assert len(got) == len(rows) == len({(r["doc_id"], r["nth"]) for r in got})
+    taken, named, target, chance = Counter(), Counter(), {}, {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]], chance[r["source"]] = r["target"], r["target"] / r["source_size"] % 1
+        named[(r["source"], r["doc_id"] is None)] += r["copies"] - int(r["target"] / r["source_size"])
+    assert all(abs(taken[s] - target[s]) <= 2 for s in target)
+    assert 0.2 < chance["c"] < 0.45
+    for without in (True, False):
+        n = sum(r["source"] == "c" and (r["doc_id"] is None) == without for r in got)
+        assert abs(named[("c", without)] - chance["c"] * n) <= 0.1 * chance["c"] * n
+    size = Counter()
+    for r in got:
+        size[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+    mixed = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixed_rows(docs, pareto_mix(docs.repartition(5))).collect())
+    assert mixed == +size
