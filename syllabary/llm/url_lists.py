@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: End of an interval that nothing has ended yet.
 OPEN = "9999-12-31"
-#: Host names have at most so many labels and URLs are matched by at most so many leading path segments.
-LABELS, SEGMENTS = 127, 8
 
 
 def host_of(url: Column) -> Column:
@@ -24,26 +22,37 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-def patterns_of(url: Column) -> Column:
+def patterns_of(url: Column, labels: int, segments: int) -> Column:
     """What may be on a list for a URL: each suffix of its host by labels ('b.com'), and the host with leading path
-    segments ('a.b.com/x/'), as (pattern, depth) from the widest to the narrowest; null without a host."""
+    segments ('a.b.com/x/'), as (pattern, depth) from the widest to the narrowest; null without a host.
+
+    Suffixes have up to ``labels`` labels and prefixes up to ``segments`` segments, as many as any entry has."""
     host = host_of(url)
-    labels = F.split(host, r"\.")
-    n = F.least(F.size(labels), F.lit(LABELS))
+    parts_of_host = F.split(host, r"\.")
+    size = F.size(parts_of_host)
     suffixes = F.transform(
-        F.sequence(F.lit(1), n), lambda k: F.struct(F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".").alias("pattern"), k.alias("depth"))
+        F.sequence(F.lit(1), F.least(size, F.lit(max(labels, 1)))),
+        lambda k: F.struct(F.array_join(F.slice(parts_of_host, size - k + 1, k), ".").alias("pattern"), k.alias("depth")),
     )
     parts = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
-    m = F.least(F.size(parts), F.lit(SEGMENTS))
+    m = F.least(F.size(parts), F.lit(segments))
     prefixes = F.transform(
         F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")),
         lambda k: F.struct(
-            F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")).alias("pattern"), (k + LABELS).alias("depth")
+            F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")).alias("pattern"), (k + size).alias("depth")
         ),
     )
     return F.when(host.isNotNull(), F.concat(suffixes, prefixes))
 
 
+def extent(entries: DataFrame) -> tuple[int, int]:
+    """The most labels and the most path segments that a pattern of ``entries`` has; 0 without entries."""
+    host = F.substring_index("pattern", "/", 1)
+    slashes = F.regexp_count("pattern", F.lit("/"))
+    labels, segments = entries.agg(F.max(F.size(F.split(host, r"\."))), F.max(slashes - 1)).first()
+    return max(labels or 0, 0), max(segments or 0, 0)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, held_from, held_until): each entry holds from its day until the next day of its pattern.
 
@@ -64,6 +73,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     entries that held on the day of the fetch for any pattern of the URL, the narrowest decides; 'lift' ends what its
     pattern said and decides nothing. verdict is its action, or 'none'. n_holding counts the entries that held.
 
+    Patterns of a URL go as deep as the deepest entry, so an entry may name a page at any depth.
     Intervals are joined by pattern and month, so that a host with a long history doesn't meet each of its captures
     once per entry; an open interval ends with the last month that has a capture. Captures without url, host or day get 'none'.
     Repeated captures give a row each; an empty list gives 'none' everywhere. Other columns are not read.
@@ -78,7 +88,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         F.explode(F.sequence("_start", "_last", F.expr("interval 1 month"))).alias("_month"),
     )
     asked = rows.withColumn("_key", F.monotonically_increasing_id()).select(
-        "_key", "capture_id", "fetched_on", F.explode_outer(patterns_of(F.col("url"))).alias("_p")
+        "_key", "capture_id", "fetched_on", F.explode_outer(patterns_of(F.col("url"), *extent(entries))).alias("_p")
     )
     asked = asked.select(
         "_key", "capture_id", "fetched_on", F.col("_p.pattern").alias("_own"), F.col("_p.depth").alias("_depth"), F.trunc("fetched_on", "month").alias("_at")

@@ -274,6 +274,16 @@ def test_lists_as_of_the_fetch(spark):
     assert captures.select(host_of(captures["url"]).alias("h")).where("capture_id = 16").first()["h"] == "c.b.com"
 
 
+def test_lists_reach_pages_at_any_depth(spark):
+    day = dt.date(2024, 1, 1)
+    deep = "/".join(str(k) for k in range(1, 31))
+    entries = [("b.com", "allow", day), ("b.com/1/2/3/4/5/6/7/8/9/", "block", day), (f"b.com/{deep}/page.html/", "allow", day), (".".join("x" * 130), "block", day)]
+    urls = [f"http://b.com/{deep}/page.html?q", f"http://b.com/{deep}/", "http://b.com/1/2/3/4/5/6/7/8/9", "http://b.com/1/2/3/4/5/6/7/8", f"http://{'.'.join('x' * 131)}/1"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "capture_id int, url string, fetched_on date")
+    got = judge(captures, spark.createDataFrame(entries, "pattern string, action string, day date")).collect()
+    assert {r["capture_id"]: (r["verdict"], r["n_holding"]) for r in got} == {0: ("allow", 3), 1: ("block", 2), 2: ("block", 2), 3: ("allow", 1), 4: ("block", 1)}
+
+
 def labelled(spark, n=600):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(200)]
