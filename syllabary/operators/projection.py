@@ -1,8 +1,8 @@
 """Projection with nested relations.
 
-A to-many list is one array per row as long as it has at most ``max_list`` elements. A longer list is
-carried by several rows: they repeat the row's own columns and hold disjoint parts of the list, so no
-task has to hold an unbounded group and nothing is left out.
+Rows and nested structs with to-many lists have a column ``part``, at every size: the lists of a row are the union of
+those of its parts, from 0 on, each of at most about ``max_list`` elements. Part 0 is always there, and ``part = 0`` is each row
+once. Parts repeat the row's own columns and hold disjoint elements, so no task has to hold an unbounded group and nothing is left out.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from syllabary.catalog import Relation
 from syllabary.store import Store
 
 MAX_LIST = 10_000
+PART = "part"
 
 
 @dataclass
@@ -67,7 +68,7 @@ def project(
     store: Store, df: DataFrame, entity: str, tree: Projection, keep: Sequence[str] = (),
     max_list: int = MAX_LIST, restrict: bool = True,
 ) -> DataFrame:
-    """Shape rows of an entity: own columns, then one column per relation.
+    """Shape rows of an entity: own columns, then ``part`` if a relation is to-many, then one column per relation.
 
     ``keep`` names columns of ``df`` to carry along (sort keys, join keys). ``restrict`` reduces the
     links to those of the given rows first; switch it off when the rows are the whole table.
@@ -91,7 +92,8 @@ def project(
     for name, rel in rels.items():
         if not rel.many:
             base = _with_one(store, base, rel, tree.relations[name], name, max_list)
-    return base.select(*own, *carried, *rels)
+    part = [F.col("_slot").alias(PART)] if lists else []
+    return base.select(*own, *carried, *part, *rels)
 
 
 def include(
@@ -112,7 +114,8 @@ def _with_one(
 
 def _output_names(store: Store, entity: str, tree: Projection) -> list[str]:
     own = store.columns(entity) if tree.everything else sorted(tree.fields)
-    return [c for c in own if c not in tree.relations] + list(tree.relations)
+    part = [PART] if any(store.catalog.relation(entity, name).many for name in tree.relations) else []
+    return [c for c in own if c not in tree.relations] + part + list(tree.relations)
 
 
 def _lists(

@@ -264,7 +264,10 @@ def present(
     page: int | None = None, page_size: int | None = None, fields: Sequence[str] | None = None,
     include: Sequence[str] | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Sort, page and project rows of an entity; the rows come out in sort order."""
+    """Sort, page and project rows of an entity; the rows come out in sort order.
+
+    A page counts entities. With to-many relations each has its parts (see `projection`), those of one entity in turn.
+    """
     tree = projection.projection(store, entity, fields, include)
     if not tree.relations:
         chosen = ordering.page(rows, page, page_size, sort, order)
@@ -277,6 +280,7 @@ def present(
         store, renamed, entity, tree, keep=[*keep, *[f"_sort_{c}" for c in hidden]], restrict=page_size is not None
     )
     by = ordering.order_columns(shaped, f"_sort_{sort}" if sort else None, order, tie="_sort_id")
+    by += [F.col(projection.PART)] if projection.PART in shaped.columns else []
     return shaped.orderBy(*by).drop(*[f"_sort_{c}" for c in hidden])
 
 
@@ -369,7 +373,8 @@ def weekly_schedule(
     hidden = chosen.select("*", within.alias("_within"), F.col("id").alias("_id"))
     shaped = projection.project(store, hidden, "event", tree, keep=["weekday", "_within", "_id"], restrict=True)
     last = F.col("_within").desc_nulls_last() if flip else F.col("_within").asc_nulls_first()
-    return shaped.orderBy(F.col("weekday").asc(), last, F.col("_id").asc()).drop("_within", "_id")
+    parts = [F.col(projection.PART)] if projection.PART in shaped.columns else []
+    return shaped.orderBy(F.col("weekday").asc(), last, F.col("_id").asc(), *parts).drop("_within", "_id")
 
 
 def with_weekday(df: DataFrame) -> DataFrame:

@@ -353,13 +353,23 @@ on_star(
     + """SELECT CAST(e.event_date AS VARCHAR) AS event_date, e.name, b.name AS building FROM v_event e LEFT JOIN v_location l ON l.id = e.location_id
          LEFT JOIN v_building b ON b.id = l.building_id WHERE isodow(e.event_date) = 6""",
 )
+
+
+def _included(rows):
+    """One row per event, from the parts of its list of courses and of their lists of staff."""
+    own = F.filter("courses", lambda c: c["part"] == 0)
+    parts = rows.select(
+        "id", F.col("location.name").alias("location"), F.transform(own, lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"))).alias("_own"),
+        F.aggregate(F.transform("courses", lambda c: F.size(c["staff"])), F.lit(0), lambda a, x: a + x).alias("_staff"),
+    )
+    whole = parts.groupBy("id", "location").agg(F.array_sort(F.flatten(F.collect_list("_own"))).alias("_all"), F.sum("_staff").alias("n_staff"))
+    names = F.array_join(F.transform("_all", lambda c: c["name"]), "|")
+    return whole.select("id", F.size("_all").alias("n_courses"), names.alias("courses"), "n_staff", "location")
+
+
 on_star(
     "include_relations",
-    lambda s: E.list_rows(s, "event", include=["courses.staff", "location"]).select(
-        "id", F.size("courses").alias("n_courses"), F.array_join(F.transform("courses", lambda c: c["name"]), "|").alias("courses"),
-        F.aggregate(F.transform("courses", lambda c: F.size(c["staff"])), F.lit(0), lambda a, x: a + x).cast("long").alias("n_staff"),
-        F.col("location.name").alias("location"),
-    ),
+    lambda s: _included(E.list_rows(s, "event", include=["courses.staff", "location"])),
     with_views("event", "course_event", "course", "course_staff", "location")
     + """, cs AS (SELECT course_id, count(*) AS n FROM v_course_staff GROUP BY course_id),
          ec AS (SELECT l.event_id, CAST(count(*) AS INT) AS n_courses, string_agg(c.name, '|' ORDER BY c.id) AS courses,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from syllabary.operators import calendar, projection
 from syllabary.operators.schedule import recurring_series
 from syllabary.plans import audit, entities, load
+from syllabary.registry import lists
+from syllabary.store import empty_store
 from syllabary.streaming import incremental
 
 ROOM = {"name": "HS 1", "external_id": "", "building": {"name": "", "short_name": "", "address": ""}}
@@ -106,3 +108,47 @@ def test_calendar_lines_are_folded_and_escaped(spark):
     folded, escaped = df.select(calendar.fold(F.col("l")), calendar.escape(F.col("t"))).first()
     assert all(len(line.encode()) <= 75 for line in folded.split("\r\n")) and folded.replace("\r\n ", "") == long
     assert escaped == "a\\,b\\;c\\\\d\\ne"
+
+
+def linked(spark, sizes):
+    """Events E<n> that begin with the number of their last course and have n courses, each with one module and two people."""
+    events = spark.createDataFrame([(f"E{n}", f"C{n - 1:06d}-1", "n", n) for n in sizes], "id string, number string, name string, n int")
+    pairs = events.select("id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    courses = spark.range(max(sizes)).select(F.format_string("C%06d", "id").alias("key"))
+    return empty_store(spark).with_tables(
+        event=events.selectExpr("id", "number", "name", "600 as start_min", "690 as end_min", "date'2026-04-06' as event_date", "'L' as location_id", "'' as url"),
+        course=courses.selectExpr("key as id", "concat('name ', key) as name", "key as number", "'V' as type"),
+        course_event=pairs.select(F.format_string("C%06d", F.col("k").cast("long")).alias("course_id"), F.col("id").alias("event_id")),
+        module=courses.selectExpr("concat('M', key) as id", "concat('mod ', key) as name", "key as number"),
+        module_course=courses.selectExpr("concat('M', key) as module_id", "key as course_id"),
+        staff=spark.createDataFrame([("S1", "Ann"), ("S2", "Bo")], "id string, name string"),
+        course_staff=courses.selectExpr("explode(array('S1', 'S2')) as staff_id", "key as course_id"),
+    )
+
+
+def test_events_of_any_number_of_links_are_one_row(spark):
+    sizes = (5, 50_000)
+    store = linked(spark, sizes)
+    rows = calendar.with_placeholders(store, store["event"]).collect()
+    assert sorted(r["id"] for r in rows) == sorted(f"E{n}" for n in sizes)
+    for r in rows:
+        n = int(r["id"][1:])
+        order = [n - 1, *range(n - 1)]
+        assert r["p_course_name"] == " / ".join(f"name C{k:06d}" for k in order)
+        assert r["p_module_name"] == " / ".join(f"mod C{k:06d}" for k in order)
+        assert (r["p_course_number"], r["p_module_number"], r["p_course_type"], r["p_staff_names"]) == (f"C{n - 1:06d}", f"C{n - 1:06d}", "V", "Ann, Bo")
+    assert calendar.calendar_events(store, store["event"]).count() == len(sizes)
+
+
+def test_relations_have_one_shape_at_any_size(spark):
+    store = linked(spark, (5, 50_000))
+    rows = entities.list_rows(store, "event", include=["courses.staff", "location"])
+    assert "part" in rows.columns
+    got = rows.groupBy("id").agg(F.count(F.when(F.col("part") == 0, 1)).alias("once"), F.sum(F.size("courses")).alias("n"), F.max("part").alias("last"))
+    assert {tuple(r) for r in got.collect()} == {("E5", 1, 5, 0), ("E50000", 1, 50_000, 4)}
+    whole = {r["id"]: r for r in lists._included(rows).collect()}
+    for n in (5, 50_000):
+        assert (whole[f"E{n}"]["n_courses"], whole[f"E{n}"]["n_staff"]) == (n, 2 * n)
+        assert whole[f"E{n}"]["courses"] == "|".join(f"name C{k:06d}" for k in range(n))
+    paged = entities.list_rows(store, "event", page=1, page_size=2, include=["courses"]).select("id").distinct()
+    assert paged.count() == 2
