@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from syllabary.operators import calendar, projection
 from syllabary.operators.schedule import recurring_series
 from syllabary.plans import audit, entities, load
-from syllabary.registry import lists
+from syllabary.registry import calendars, lists  # noqa: F401
+from syllabary.registry.base import QUERIES
 from syllabary.store import empty_store
 from syllabary.streaming import incremental
 
@@ -152,3 +153,77 @@ def test_relations_have_one_shape_at_any_size(spark):
         assert whole[f"E{n}"]["courses"] == "|".join(f"name C{k:06d}" for k in range(n))
     paged = entities.list_rows(store, "event", page=1, page_size=2, include=["courses"]).select("id").distinct()
     assert paged.count() == 2
+
+
+def test_whole_export_text(spark, monkeypatch):
+    days = ["2026-04-06", "2026-04-13", "2026-04-27"]
+    events = [(f"e{i}", "10-2 x", "Algebra; part, one", 600, 690, dt.date.fromisoformat(d), "L1") for i, d in enumerate(days)]
+    events += [("e7", "77", "Übung " + "ä" * 50, 480, 565, dt.date(2026, 4, 7), "L2"), ("e8", "", "alone", 5, 65, dt.date(2026, 4, 8), None)]
+    courses = {"c1": ("First, of two", "10-3", "V"), "c2": ("Owner\\ course", "10-2", "S"), "c3": ("", "7", "S")}
+    modules = {"m1": ("Module A", "99"), "m2": ("Module B\nnext", "10"), "m3": ("Module C", "7")}
+    people = {"s1": "Ann", "s2": "Bo; Co", "s3": " "}
+    rooms, houses = {"L1": ("HS 1, left", "B1"), "L2": ("", None)}, {"B1": "Main"}
+    course_event = [("c1", e) for e in ("e0", "e1", "e2")] + [("c2", e) for e in ("e0", "e1", "e2")] + [("c3", "e7")]
+    module_course = [("m1", "c1"), ("m1", "c2"), ("m2", "c2"), ("m3", "c3")]
+    course_staff, event_staff = [("c2", "s2"), ("c2", "s1"), ("c3", "s3")], [("e7", "s2")]
+
+    def df(rows, ddl):
+        return spark.createDataFrame(rows, ddl)
+
+    store = empty_store(spark).with_tables(
+        event=df([(*e, "") for e in events], "id string, number string, name string, start_min int, end_min int, event_date date, location_id string, url string"),
+        course=df([(k, *v) for k, v in courses.items()], "id string, name string, number string, type string"),
+        module=df([(k, *v) for k, v in modules.items()], "id string, name string, number string"),
+        staff=df(list(people.items()), "id string, name string"),
+        location=df([(k, *v) for k, v in rooms.items()], "id string, name string, building_id string"),
+        building=df(list(houses.items()), "id string, name string"),
+        course_event=df(course_event, "course_id string, event_id string"), module_course=df(module_course, "module_id string, course_id string"),
+        course_staff=df(course_staff, "course_id string, staff_id string"), event_staff=df(event_staff, "event_id string, staff_id string"),
+    )
+
+    def fold(line):
+        out, width = "", 0
+        for ch in line:
+            size = len(ch.encode())
+            if width + size > 75:
+                out, width = out + "\r\n ", 1
+            out, width = out + ch, width + size
+        return out
+
+    def escape(value):
+        return value.replace("\\", "\\\\").replace(";", "\\;").replace(",", "\\,").replace("\n", "\\n")
+
+    def ahead(keys, whole, number):
+        own = [k for k in sorted(keys) if number(k) and whole.startswith(number(k))][:1]
+        return own, own + [k for k in sorted(keys) if k not in own]
+
+    def text(group):
+        event = min(group, key=lambda e: (e[5], e[0]))
+        id_, number, name, start, end, first, room = event
+        own, cs = ahead([c for c, e in course_event if e == id_], number, lambda k: courses[k][1])
+        ms = []
+        for c in cs:
+            mine = [m for m, x in module_course if x == c]
+            ms += ahead(mine, courses[c][1], lambda k: modules[k][1])[1] if c in own else sorted(mine)
+        staff = sorted(s for e, s in event_staff if e == id_) or sorted(s for c, s in course_staff if c in cs[:1])
+        joined = [" / ".join(x for x in xs if x.strip()) for xs in ([modules[m][0] for m in dict.fromkeys(ms)], [courses[c][0] for c in cs])]
+        names = ", ".join(people[s] for s in staff if people[s].strip())
+        lines = ["BEGIN:VEVENT", f"UID:event-{id_}@syllabary", "SUMMARY:" + escape(f"{joined[0]} – {joined[1]}")]
+        lines += [f"{k};TZID=Europe/Berlin:{first:%Y%m%d}T{m // 60:02d}{m % 60:02d}00" for k, m in (("DTSTART", start), ("DTEND", end))]
+        held = sorted(e[5] for e in group)
+        if len(held) > 1:
+            weeks = (held[-1] - held[0]).days // 7 + 1
+            gone = [d for d in (held[0] + dt.timedelta(days=7 * k) for k in range(weeks)) if d not in held]
+            lines.append(f"RRULE:FREQ=WEEKLY;COUNT={weeks}")
+            lines += ["EXDATE;TZID=Europe/Berlin:" + ",".join(f"{d:%Y%m%d}T{start // 60:02d}{start % 60:02d}00" for d in gone)] if gone else []
+        place = rooms[room][0] if room else ""
+        lines += [f"LOCATION:{escape(place)}"] if place else []
+        lines += [f"DESCRIPTION:{escape(name + chr(10) + names)}", "END:VEVENT"]
+        return 1, id_, "\r\n".join(map(fold, lines))
+
+    head = "\r\n".join(["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//Syllabary//EN", "X-WR-TIMEZONE:Europe/Berlin"])
+    want = {(0, None, head), (2, None, "END:VCALENDAR"), text(events[:3]), text(events[3:4]), text(events[4:])}
+    monkeypatch.setattr("syllabary.registry.base.star_store", lambda spark, sf_dir: store)
+    got = QUERIES["export_ical"](spark, "unused")
+    assert got.columns == ["position", "id", "ics"]
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
