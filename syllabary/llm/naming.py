@@ -13,6 +13,8 @@ from .common import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for "no right neighbour"; names of blocks are above it.
 NONE = -(2**63)
+#: Rows that one step of the expansion of equal rows gives.
+EXPANDED = 65_536
 
 
 def ascii_lower(text: Column) -> Column:
@@ -27,13 +29,14 @@ def _named(values: DataFrame) -> DataFrame:
 
 
 def identities(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """doc_id, sha (of the lower-cased text), level, name: two texts are equal exactly if level and name are.
+    """doc_id, sha (of the lower-cased text), level, name, rows: two texts are equal exactly if level and name are.
 
     Distinct blocks are grouped by their whole bytes, sorted and numbered. Documents find the numbers by ``key``, a
     64-bit hash; where several blocks share a key, they get numbers of their own and are found by all their bytes.
     So no text passes through more than that one shuffle, and the names hold without trust in the hash.
     Each later level names pairs of neighbours; a document leaves with its level once it has one name.
-    Null text counts as empty (one empty block). Rows that agree in doc_id and text are one document.
+    Null text counts as empty (one empty block). Rows that agree in doc_id and text are one document. Those without doc_id
+    are documents of their own, and ``rows`` counts them, so that they are named once.
     """
     body = ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
     last = F.floor(F.greatest(F.octet_length("_body") - 1, F.lit(0)) / block_bytes).cast("int")
@@ -62,11 +65,13 @@ def identities(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column],
         own = stored(_named(apart.select("_key", "_block")), "names-shared-key")
         rest = apart.join(own, ["_key", "_block"]).select("_doc", "_sha", "_last", "_pos", (-1 - F.col("name")).alias("_name"))
         current = current.unionByName(rest)
-    current = stored(current.dropDuplicates(["_doc", "_sha", "_pos"]), "level-0")
+    counted = F.when(F.col("_doc").isNull(), F.count(F.lit(1))).otherwise(F.lit(1))
+    once = current.groupBy("_doc", "_sha", "_pos").agg(F.first("_last").alias("_last"), F.first("_name").alias("_name"), counted.alias("_rows"))
+    current = stored(once, "level-0")
     level, done = 0, []
     while True:
         done.append(
-            current.where("_last = 0").select("_doc", "_sha", F.lit(level).alias("level"), F.col("_name").alias("name"))
+            current.where("_last = 0").select("_doc", "_sha", F.lit(level).alias("level"), F.col("_name").alias("name"), F.col("_rows").alias("rows"))
         )
         rows = current.where("_last > 0")
         if rows.isEmpty():
@@ -76,13 +81,15 @@ def identities(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column],
         pairs = (
             rows.withColumn("_pair", F.floor(F.col("_pos") / 2).cast("int"))
             .groupBy("_doc", "_sha", "_last", "_pair")
-            .agg(F.max(F.when(even, F.col("_name"))).alias("_a"), F.max(F.when(~even, F.col("_name"))).alias("_b"))
+            .agg(
+                F.max(F.when(even, F.col("_name"))).alias("_a"), F.max(F.when(~even, F.col("_name"))).alias("_b"), F.max("_rows").alias("_rows")
+            )
             .withColumn("_b", F.coalesce("_b", F.lit(NONE)))
         )
         names = _named(pairs.select("_a", "_b"))
         current = stored(
             pairs.join(names, ["_a", "_b"]).select(
-                "_doc", "_sha", F.floor(F.col("_last") / 2).cast("int").alias("_last"), F.col("_pair").alias("_pos"), F.col("name").alias("_name")
+                "_doc", "_sha", F.floor(F.col("_last") / 2).cast("int").alias("_last"), F.col("_pair").alias("_pos"), F.col("name").alias("_name"), "_rows"
             ),
             f"level-{level}",
         )
@@ -93,11 +100,16 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column]
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256; the largest doc_id of equal texts stays.
 
     Null text is empty; equal means identical after lower-casing A-Z. Rows repeated with the same doc_id and text are one
-    document; the same doc_id with different texts are different documents. Null doc_ids lose to any number; where a group
-    has no other, keep_id is null and the row stays. Other columns are not read; an empty table gives an empty result.
+    document; the same doc_id with different texts, and all rows without doc_id, are different documents. Null doc_ids lose
+    to any number; where a group has no other, keep_id is null and its rows stay. Other columns are not read; an empty table
+    gives an empty result.
     """
     named = identities(docs, block_bytes, key)
-    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["level", "name"]).select(
+    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    # In steps, so that no array is long where many rows share a text.
+    step = F.lit(EXPANDED).cast("long")
+    steps = named.join(groups, ["level", "name"]).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, step)))
+    each = steps.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(step, F.col("rows") - F.col("_from")))))
+    return each.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )

@@ -41,6 +41,13 @@ def test_exact_dedup_of_odd_rows(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_equal_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr("syllabary.llm.naming.EXPANDED", 3)
+    rows = [(None, "a" * 40, None, None, 1)] * 7 + [(None, "B", None, None, 1)] * 2 + [(5, "b", None, None, 1)]
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(frame(spark, rows), block_bytes=16).collect())
+    assert got == {(None, None, 7, True): 7, (None, 5, 3, False): 2, (5, 5, 3, True): 1}
+
+
 def check_shards(rows, got, shards):
     assert len(got) == len(rows)
     text = {r[0]: r[1] or "" for r in rows}
