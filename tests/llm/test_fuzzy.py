@@ -137,6 +137,12 @@ def test_fuzzy_lines_of_odd_rows(spark):
     assert without_repeats(frame(spark, rows), fuzzy_lines(frame(spark, rows))).count() == 4
 
 
+def test_fuzzy_lines_of_one_character(spark):
+    rows = [(1, "-" * 12, None, None, 1), (2, "-" * 8 + "\n" + "-" * 7, None, None, 1), (3, "=" * 8, None, None, 1), (4, "-" * 8, None, None, 1)]
+    got = {(r["doc_id"], r["line"]): (r["keep_doc"], r["kept"]) for r in fuzzy_lines(frame(spark, rows)).collect()}
+    assert got == {(1, 0): (1, True), (2, 0): (1, False), (2, 1): (2, True), (3, 0): (3, True), (4, 0): (1, False)}
+
+
 def test_components_are_least_ids(spark):
     rng = random.Random(3)
     edges = [(a, rng.randrange(max(0, a - 40), a)) for a in range(1, 400) if a % 50] + [(5, 5), (7, 6), (7, 6)]
