@@ -12,10 +12,13 @@ from .mixing import CORRECTIONS, pareto_mix
 from .naming import exact_dedup
 from .ngram_join import ngram_join
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality import classify
 from .sharding import shard
+from .structure_repair import repair_damaged
 from .suffix_dedup import remove_repeats
 from .url_lists import host_of, judge, path_of
+from .warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,6 +194,48 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as captures. They have no day of capture, so the second of the year 2024 is drawn from the URL."""
+    second = F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long") % 31622400
+    captures = table(spark, sf_dir, "pages").withColumn("captured_at", F.timestamp_seconds(second + 1704067200))
+    return archive(captures).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.unix_timestamp("captured_at").alias("captured_at"),
+        "url_key", "position", "nth",
+    )
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         1704067200 + ('0x' || substr(md5(coalesce(url, '')), 1, 7))::BIGINT % 31622400 AS captured_at,
+         nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)', 1) AS port,
+         coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path,
+         regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query
+  FROM pages
+), k AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id,
+         coalesce(array_to_string(list_reverse(string_split(host, '.')), ',')
+                  || CASE WHEN port IN (':80', ':443') THEN '' ELSE port END || ')' || lower(path) || lower(query), lower(url), '') AS url_key
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+       captured_at, url_key, row_number() OVER (ORDER BY url_key, captured_at, page_id) AS position,
+       row_number() OVER (PARTITION BY url_key ORDER BY captured_at, page_id) AS nth
+FROM k
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(spark, table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
@@ -202,10 +247,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op11_warc": op11_warc,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 SQL = {
     "op2_mixing": OP2_SQL,
     "op4_url_lists": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_warc": OP11_SQL,
 }
