@@ -63,7 +63,8 @@ on_table(
 )
 on_star(
     "d_semester", lambda s: s["semester"].select("id", dates.semester(F.col("name")).alias("s")).select("id", F.col("s.year").alias("year"), F.col("s.term").alias("term")),
-    with_views("semester") + "SELECT id, year, term FROM v_semester",
+    with_views("semester")
+    + r"SELECT id, CAST(regexp_extract(name, '\d{2,4}') AS INT) AS year, substring(name, 1, 4) AS term FROM v_semester",
 )
 on_table(
     "d_local_ts", "events",
