@@ -56,7 +56,8 @@ def write_archives(captures: DataFrame, path: str, least: int = LEAST) -> None:
     more, the one with the smallest page_id becomes a response, the others revisits of it without payload; shorter ones are
     all responses. Rows without page_id come last in that order, and of rows repeated with one page_id one is the response.
     Each row has a record ID of its own. A null URL or day leaves its field out; line breaks in a URL are percent-encoded.
-    Archives are plain files, one per task, and any of them can be cut into splits for reading.
+    Archives are plain files, one per task, and any of them can be cut into splits for reading. Equal payloads are combined
+    before they are sent, so a payload that a third of all captures share is sent once a task.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = captures.select(
@@ -66,18 +67,25 @@ def write_archives(captures: DataFrame, path: str, least: int = LEAST) -> None:
         html.alias("html"),
         F.sha2(html.cast("binary"), 256).alias("digest"),
         F.octet_length(html).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row"),
     )
+    # Who is a response is settled without payloads. Each payload is then sent once, to the response of its digest.
+    large = F.col("size") >= least
+    slim = rows.withColumn("html", F.when(~large, F.col("html"))).withColumn("row", F.monotonically_increasing_id())
     hexed = F.md5(F.concat_ws("\n", F.col("row").cast("string"), F.col("page_id").cast("string"), "digest", "url"))
     cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     urn = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(hexed, at, n) for at, n in cuts)), F.lit(">"))
-    rows = stored(rows.withColumn("record_id", urn), "captures")
-    slim = rows.where(F.col("size") >= least).select("row", "page_id", "url", "date", "digest", "record_id")
+    slim = stored(slim.withColumn("record_id", urn), "captures")
     value = F.struct(F.col("page_id").isNull().alias("nameless"), "page_id", "row", "record_id", "url", "date")
-    found = first_of_group(slim, ["digest"], ["page_id", "row"], value, "payloads")
-    again = found.where("row <> first.row").select(F.col("row").alias("_row"), "first")
-    joined = rows.join(again, F.col("row") == F.col("_row"), "left")
-    revisit = F.col("_row").isNotNull()
+    found = stored(first_of_group(slim.where(large).drop("html"), ["digest"], ["page_id", "row"], value, "payloads"), "firsts")
+    bodies = rows.where(large).groupBy(F.col("digest").alias("_digest")).agg(F.first("html").alias("html"))
+    first = F.struct(F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("date"))
+    columns = ["page_id", "url", "date", "digest", "size", "record_id"]
+    again = found.where("row <> first.row").select(
+        *columns, F.lit(None).cast("string").alias("html"), F.struct("first.record_id", "first.url", "first.date").alias("first")
+    )
+    news = found.where("row = first.row").join(bodies.hint("merge"), F.col("digest") == F.col("_digest")).select(*columns, "html", first.alias("first"))
+    joined = slim.where(~large).select(*columns, "html", first.alias("first")).unionByName(news).unionByName(again)
+    revisit = F.col("first.record_id").isNotNull()
 
     def field(name: str, text: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), text)
