@@ -26,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors cost a re-read, and Spark knows its size."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, stored
+from .common import free, running, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -34,15 +34,16 @@ def numbered(rows: DataFrame, doc_id: Column, order: Mapping[str, Column], colum
     So (doc_id, number) is a key of the row. Rows that agree in ``order`` are numbered in any way. Only rows without doc_id
     or with a repeated one are dealt, by ranges, as one id may hold many of them.
     """
-    several = rows.groupBy(doc_id.alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or _again is null")
-    again = stored(several.select("_again"), "repeated")
+    mark, same, at, *names = free(rows, "_again", "_same", "_at", *order)
+    several = rows.groupBy(doc_id.alias(mark)).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(mark).isNull())
+    again = stored(several.select(mark), "repeated")
     if again.isEmpty():
         return rows.withColumn(column, F.lit(1).cast("long"))
-    repeated = again.where("_again is not null")
-    once = rows.where(doc_id.isNotNull()).join(repeated, doc_id == F.col("_again"), "left_anti").withColumn(column, F.lit(1).cast("long"))
-    odd = rows.where(doc_id.isNull()).unionByName(rows.join(repeated, doc_id == F.col("_again"), "left_semi"))
-    keyed = odd.select("*", doc_id.alias("_same"), *(c.alias(k) for k, c in order.items()), F.monotonically_increasing_id().alias("_at"))
-    placed = running(keyed, [*order, "_at"], {column: F.lit(1)}, within=["_same"], name="numbered")
+    repeated = again.where(F.col(mark).isNotNull())
+    once = rows.where(doc_id.isNotNull()).join(repeated, doc_id == F.col(mark), "left_anti").withColumn(column, F.lit(1).cast("long"))
+    odd = rows.where(doc_id.isNull()).unionByName(rows.join(repeated, doc_id == F.col(mark), "left_semi"))
+    keyed = odd.select("*", doc_id.alias(same), *(c.alias(k) for k, c in zip(names, order.values(), strict=True)), F.monotonically_increasing_id().alias(at))
+    placed = running(keyed, [*names, at], {column: F.lit(1)}, within=[same], name="numbered")
     return once.unionByName(placed.select(*(F.col(f"`{c}`") for c in rows.columns), column))
 
 
@@ -148,9 +149,10 @@ def mixed_rows(docs: DataFrame, mix: DataFrame) -> DataFrame:
     their own. Documents without words are not part of a mix by words and stay out.
     """
     doc_id = F.col("doc_id").cast("long")
-    times = mix.where("size > 0 and copies > 0").select(F.col("doc_id").alias("_doc"), F.col("nth").alias("_k"), F.col("copies").alias("_times"))
+    nth, doc, k, count, copy = free(docs, "_nth", "_doc", "_k", "_times", "_copy")
+    times = mix.where("size > 0 and copies > 0").select(F.col("doc_id").alias(doc), F.col("nth").alias(k), F.col("copies").alias(count))
     by_text = {"_source": F.col("source").cast("string"), "_size": word_count(F.col("text")), "_hash": F.xxhash64("text")}
-    rows = numbered(docs, doc_id, by_text, "_nth")
-    joined = rows.join(times, doc_id.eqNullSafe(F.col("_doc")) & (F.col("_nth") == F.col("_k")))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    rows = numbered(docs, doc_id, by_text, nth)
+    joined = rows.join(times, doc_id.eqNullSafe(F.col(doc)) & (F.col(nth) == F.col(k)))
+    repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
