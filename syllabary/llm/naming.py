@@ -35,8 +35,7 @@ def identities(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column],
     64-bit hash; where several blocks share a key, they get numbers of their own and are found by all their bytes.
     So no text passes through more than that one shuffle, and the names hold without trust in the hash.
     Each later level names pairs of neighbours; a document leaves with its level once it has one name.
-    Null text counts as empty (one empty block). Rows that agree in doc_id and text are one document. Those without doc_id
-    are documents of their own, and ``rows`` counts them, so that they are named once.
+    Null text counts as empty (one empty block). Rows that agree in doc_id and text are named once, and ``rows`` counts them.
     """
     body = ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
     last = F.floor(F.greatest(F.octet_length("_body") - 1, F.lit(0)) / block_bytes).cast("int")
@@ -65,8 +64,9 @@ def identities(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column],
         own = stored(_named(apart.select("_key", "_block")), "names-shared-key")
         rest = apart.join(own, ["_key", "_block"]).select("_doc", "_sha", "_last", "_pos", (-1 - F.col("name")).alias("_name"))
         current = current.unionByName(rest)
-    counted = F.when(F.col("_doc").isNull(), F.count(F.lit(1))).otherwise(F.lit(1))
-    once = current.groupBy("_doc", "_sha", "_pos").agg(F.first("_last").alias("_last"), F.first("_name").alias("_name"), counted.alias("_rows"))
+    once = current.groupBy("_doc", "_sha", "_pos").agg(
+        F.first("_last").alias("_last"), F.first("_name").alias("_name"), F.count(F.lit(1)).alias("_rows")
+    )
     current = stored(once, "level-0")
     level, done = 0, []
     while True:
@@ -99,9 +99,8 @@ def identities(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column],
 def exact_dedup(docs: DataFrame, block_bytes: int = 1024, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256; the largest doc_id of equal texts stays.
 
-    Null text is empty; equal means identical after lower-casing A-Z. Rows repeated with the same doc_id and text are one
-    document; the same doc_id with different texts, and all rows without doc_id, are different documents. Null doc_ids lose
-    to any number; where a group has no other, keep_id is null and its rows stay. Other columns are not read; an empty table
+    Null text is empty; equal means identical after lower-casing A-Z. Every row is a document: rows repeated with the same
+    doc_id and text all return, count, and stay or go together. Null doc_ids lose to any number; where a group has no other, keep_id is null and its rows stay. Other columns are not read; an empty table
     gives an empty result.
     """
     named = identities(docs, block_bytes, key)

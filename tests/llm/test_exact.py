@@ -37,7 +37,8 @@ def test_exact_dedup(spark, key):
 def test_exact_dedup_of_odd_rows(spark):
     rows = [(1, "a", None, None, 1), (1, "a", None, None, 1), (1, "b", None, None, 1), (None, "a", None, None, 1), (None, "c", None, None, 1)]
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(frame(spark, rows)).collect()}
-    assert got == {(1, 1, 2, True), (None, 1, 2, False), (1, 1, 1, True), (None, None, 1, True)}
+    assert got == {(1, 1, 3, True), (None, 1, 3, False), (1, 1, 1, True), (None, None, 1, True)}
+    assert exact_dedup(frame(spark, rows)).count() == len(rows)
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
