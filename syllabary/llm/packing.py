@@ -10,13 +10,12 @@ import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from importlib.util import find_spec
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tiktoken_ext.openai_public import r50k_pat_str
 
 from .common import running, stored
 from .linking import slices
@@ -28,13 +27,19 @@ SLICE = 2_000_000
 TOGETHER = 2_000
 
 
-def _merger(spec: dict) -> tuple[tiktoken.Encoding | None, list[str]]:
+def _merger(spec: dict) -> tuple[object | None, list[str]]:
     """The merges of a tokenizer file for a faster merging library, and the strings that only the tokenizer itself reads.
+    Without that library the tokenizer reads everything.
 
     A plain byte-level BPE, whose ids are in the order of its merges, has the same ids there; any other file has none.
     """
     model, split, added = spec["model"], spec["pre_tokenizer"] or {}, [x["content"] for x in spec["added_tokens"]]
     plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+    if find_spec("tiktoken") is None or find_spec("tiktoken_ext") is None:
+        return None, added
+    import tiktoken
+    from tiktoken_ext.openai_public import r50k_pat_str
+
     if not plain or spec["normalizer"] or model.get("ignore_merges") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
         return None, added
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
