@@ -110,6 +110,15 @@ def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     for action, number in steps:
         entries = entries.unionByName(chosen.select(F.col("host").alias("pattern"), F.lit(action).alias("action"), _day(number).alias("day")))
+    # Directories and pages at any depth below the first: some blocked for thirty days, as a lift ends that.
+    parts = F.filter(F.split(path_of(F.col("url")), "/"), lambda x: x != "")
+    below = pages.where(_number(F.col("url"), 5) % 8 == 0).select(host_of(F.col("url")).alias("host"), parts.alias("parts"))
+    deep = below.where("host is not null and size(parts) > 1").select(
+        F.concat("host", F.lit("/"), F.array_join("parts", "/"), F.lit("/")).alias("pattern")
+    ).distinct()
+    draw, from_day = _number(F.col("pattern"), 13) % 3, _number(F.col("pattern"), 1) % 366
+    entries = entries.unionByName(deep.select("pattern", F.when(draw == 0, "allow").otherwise("block").alias("action"), _day(from_day).alias("day")))
+    entries = entries.unionByName(deep.where(draw == 2).select("pattern", F.lit("lift").alias("action"), _day(from_day + 30).alias("day")))
     judged = judge(captures, entries)
     # Days as ISO text, so that both sides show them alike.
     return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "held_from")})
@@ -128,6 +137,9 @@ WITH parts AS (
 ), tops AS (
   SELECT DISTINCT host || '/' || string_split(path, '/')[2] || '/' AS p FROM parts
   WHERE host IS NOT NULL AND string_split(path, '/')[2] <> ''
+), deep AS (
+  SELECT DISTINCT host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') || '/' AS p FROM parts
+  WHERE host IS NOT NULL AND ('0x' || substr(md5(url), 5, 4))::INT % 8 = 0 AND len(list_filter(string_split(path, '/'), lambda x: x <> '')) > 1
 ), entries AS (
   SELECT host AS pattern, 'block' AS action, DATE '2024-01-01' + a AS day FROM hosts
   UNION ALL SELECT host, 'lift', DATE '2024-01-01' + (a + 10 + b) FROM hosts
@@ -135,6 +147,10 @@ WITH parts AS (
   UNION ALL SELECT p, CASE WHEN ('0x' || substr(md5(p), 13, 4))::INT % 4 = 0 THEN 'allow' ELSE 'block' END,
                    DATE '2024-01-01' + (('0x' || substr(md5(p), 1, 4))::INT % 366)
             FROM tops WHERE ('0x' || substr(md5(p), 13, 4))::INT % 4 < 2
+  UNION ALL SELECT p, CASE WHEN ('0x' || substr(md5(p), 13, 4))::INT % 3 = 0 THEN 'allow' ELSE 'block' END,
+                   DATE '2024-01-01' + (('0x' || substr(md5(p), 1, 4))::INT % 366) FROM deep
+  UNION ALL SELECT p, 'lift', DATE '2024-01-01' + (('0x' || substr(md5(p), 1, 4))::INT % 366 + 30)
+            FROM deep WHERE ('0x' || substr(md5(p), 13, 4))::INT % 3 = 2
 ), held AS (
   SELECT pattern, action, day AS held_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS held_until FROM entries
 ), asked AS (
@@ -142,7 +158,7 @@ WITH parts AS (
   FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM parts WHERE host IS NOT NULL)
   UNION ALL
   SELECT page_id, fetched_on, host || '/' || array_to_string(segments[:k], '/') || '/', 127 + k
-  FROM (SELECT *, unnest(range(1, least(len(segments), 8) + 1)) AS k
+  FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS k
         FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments FROM parts WHERE host IS NOT NULL))
 ), met AS (
   SELECT a.page_id, a.pattern, a.depth, h.action, h.held_from
