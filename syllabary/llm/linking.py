@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 #: A block of a candidate cluster holds about so many members, and so many shingles.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1_000_000
+#: Clusters of up to so many members share groups of about so many shingles.
+FEW, SHARED_SHINGLES = 16, 250_000
 
 
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -118,49 +120,114 @@ def _jaccard_links(hashes: np.ndarray, counts: np.ndarray, left: np.ndarray, rig
     return np.where(union > 0, shared / np.maximum(union, 1), 0.0) >= threshold
 
 
+def _few_links(hashes: np.ndarray, counts: np.ndarray, cluster: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of items of one cluster, many small clusters at once, with a Jaccard index at or above ``threshold``."""
+    n = len(counts)
+    item = np.repeat(np.arange(n), counts)
+    order = np.lexsort((item, hashes, cluster[item]))
+    hashes, item = hashes[order], item[order]
+    group = cluster[item]
+    apart = np.ones(len(item), bool)
+    apart[1:] = (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])
+    first = apart.copy()
+    first[1:] |= item[1:] != item[:-1]
+    item, start = item[first], np.flatnonzero(apart[first])
+    sizes = np.bincount(item, minlength=n)
+    lengths = np.diff(np.append(start, len(item)))
+    codes = [np.zeros(0, np.int64)]
+    for length in range(2, int(lengths.max(initial=0)) + 1):
+        runs = item[start[lengths == length][:, None] + np.arange(length)]
+        left, right = np.triu_indices(length, 1)
+        codes.append((runs[:, left] * n + runs[:, right]).ravel())
+    pairs, shared = np.unique(np.concatenate(codes), return_counts=True)
+    a, b = pairs // max(n, 1), pairs % max(n, 1)
+    linked = shared / (sizes[a] + sizes[b] - shared) >= threshold
+    return a[linked], b[linked]
+
+
+def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least item of each item's component."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+#: Bits of the filter that rows pass before they are sent, and bits in one of its rows.
+FILTER_BITS, WORD = 1 << 24, 32
+
+
+def prefiltered(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in ``keys``, and with all others: a bitmap of hashes, never more
+    than half a million rows, is sent to all tasks, so that few rows are sent the other way. An exact join has to follow."""
+    def bit(of: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
+
+    within = (F.col("_bit") % WORD).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), within)
+    bits = keys.select(bit(key).alias("_bit")).select(F.floor(F.col("_bit") / WORD).alias("_word"), mask.alias("_mask"))
+    bitmap = stored(bits.groupBy("_word").agg(F.bit_or("_mask").alias("_mask")), "bitmap")
+    marked = rows.withColumn("_bit", bit(key)).withColumn("_at", F.floor(F.col("_bit") / WORD))
+    met = marked.join(F.broadcast(bitmap), F.col("_at") == F.col("_word"))
+    here = F.call_function("shiftright", F.col("_mask"), within).bitwiseAND(F.lit(1).cast("long")) == 1
+    return met.where(here).select(*rows.columns)
+
+
 def verified(
     members: DataFrame, texts: DataFrame, shingles: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], width: int, threshold: float, name: str
 ) -> DataFrame:
     """(id, links, other): verified links of each id inside its cluster, and an id of its component, by block pair.
 
-    ``members`` has cluster, id, weight (about the number of shingles), ``texts`` id and text. A cluster is cut into blocks
-    by a hash of the id, and each pair of blocks is one group, so no group grows with the cluster; a pair of members meets
-    in exactly one. Texts join last, by id. Links are counted there and never written as pairs.
+    ``members`` has cluster, id, weight (about the number of shingles) and key, ``texts`` key and text, perhaps many rows of
+    one key. A cluster is cut into blocks by a hash of the id, and each pair of blocks is one group, so no group grows with
+    the cluster; a pair of members meets in exactly one. Small clusters share groups. Texts join by key, by one plan at every
+    size: most that nobody asks for are left out by a bitmap first. Links are counted there and never written as pairs.
     """
+    members = stored(members, f"{name}-members")
+    bodies = prefiltered(texts.select("key", "text"), members, "key").groupBy("key").agg(F.first("text").alias("text"))
     sums = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    sized = sums.select("cluster", blocks.alias("blocks"))
+    small = (blocks == 1) & (F.col("n") <= FEW) & (F.col("w") <= SHARED_SHINGLES / FEW)
+    sized = stored(sums.select("cluster", blocks.alias("blocks"), "w", small.alias("small")), f"{name}-sizes")
+    together = sized.where("small").agg(F.sum("w")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("cluster"), F.lit(1 + together // SHARED_SHINGLES))
     placed = (
         members.join(sized, "cluster")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"), "own", "id")
-        .join(texts.select("id", "text"), "id")
-    )
+        .select(
+            F.when(F.col("small"), bucket).otherwise(F.col("cluster")).alias("place"), "small", F.least("own", "meets").alias("i"),
+            F.greatest("own", "meets").alias("j"), "own", "id", "key", "cluster",
+        )
+        .join(bodies.hint("merge"), "key")
+        .select("place", "small", "i", "j", "own", "id", "cluster", "text")
+    )
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def compare(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        rows = sorted(set(zip(group.column("id").to_pylist(), group.column("own").to_pylist(), group.column("text").to_pylist(), strict=True)))
-        ids = np.array([r[0] for r in rows], np.int64)
-        own = np.array([r[1] for r in rows])
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        hashes, counts = shingles([r[2] for r in rows], width)
-        link = _jaccard_links(hashes, counts, left, right, threshold) & (ids[left][:, None] != ids[right][None, :])
-        whole = np.zeros((len(ids), len(ids)), bool)
-        whole[np.ix_(left, right)] = link
-        if i != j:
-            whole[np.ix_(right, left)] = link.T
-        label = np.arange(len(ids))
-        while True:
-            low = np.minimum(label, np.where(whole, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        some = whole.any(axis=1)
-        return pa.table([ids[some], whole.sum(axis=1)[some], ids[label][some]], schema=schema)
-
-    found = placed.groupBy("cluster", "i", "j").applyInArrow(compare, "id long, links long, other long")
+        group = group.combine_chunks().sort_by("id")
+        ids, own = group.column("id").to_numpy(), group.column("own").to_numpy()
+        hashes, counts = shingles(group.column("text").to_pylist(), width)
+        if group.column("small")[0].as_py():
+            a, b = _few_links(hashes, counts, group.column("cluster").to_numpy(), threshold)
+            links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+            label = _least_labels(len(ids), a, b)
+        else:
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            met = _jaccard_links(hashes, counts, left, right, threshold) & (ids[left][:, None] != ids[right][None, :])
+            whole = np.zeros((len(ids), len(ids)), bool)
+            whole[np.ix_(left, right)] = met
+            if i != j:
+                whole[np.ix_(right, left)] = met.T
+            links, label = whole.sum(axis=1), _least_labels(len(ids), *np.nonzero(whole))
+        some = links > 0
+        return pa.table([ids[some], links[some], ids[label][some]], schema=schema)
+
+    found = placed.groupBy("place", "small", "i", "j").applyInArrow(compare, "id long, links long, other long")
     return stored(found, f"{name}-links")

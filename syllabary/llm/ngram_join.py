@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free, stored
 from .linking import components, slices, star_edges, verified
 from .shingles import band_hashes, choose_bands, signatures, word_shingles
 
@@ -41,10 +41,41 @@ def _signed(width: int, bands: int, rows: int):
     return run
 
 
+def _classified(docs: DataFrame, words: int, threshold: float, recall: float, hashes: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of each row, and of each distinct text its key, class_id, links, copies, and whether it stays."""
+    bands, rows = choose_bands(threshold, recall, hashes)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = stored(
+        source.mapInArrow(_signed(words, bands, rows), "doc_id long, key binary, shingles long, bands array<long>"), "signed"
+    )
+    # Each distinct text is a node of its own, whether or not its rows have a doc_id.
+    distinct = slim.groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("shingles").alias("weight"), F.first("bands").alias("bands")
+    )
+    texts = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "texts")
+    clusters = components(star_edges(texts.select("id", "bands"), "near"), "candidates")
+    chosen = texts.join(clusters, "id").select(F.col("root").alias("cluster"), "id", "weight", "key")
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    bodies = source.where("text is not null").select(key.alias("key"), "text")
+    links = verified(chosen, bodies, word_shingles, words, threshold, "near")
+    classes = components(links.select("id", "other"), "classes")
+    per_id = links.groupBy("id").agg(F.sum("links").alias("links")).join(classes, "id", "left")
+    named = stored(texts.drop("bands", "weight").join(per_id, "id", "left").withColumn("root", F.coalesce("root", "id")), "text-classes")
+    place = F.struct(F.col("least").isNull().alias("nameless"), "least", "key")
+    # Only classes of several texts can have a least id or a keeper that isn't the text's own.
+    best = named.where("links is not null").groupBy("root").agg(F.min(place).alias("first")).select(F.col("root").alias("_root"), "first")
+    joined = named.join(best, F.col("root") == F.col("_root"), "left")
+    single = F.col("first").isNull()
+    return slim.select("doc_id", "key"), joined.select(
+        "key", F.when(single, F.col("least")).otherwise(F.col("first.least")).alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies", (single | (F.col("first.key") == F.col("key"))).alias("stays"),
+    )
+
+
 def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.99, hashes: int = 128) -> DataFrame:
     """One row per document: doc_id, class_id, links, copies.
 
-    Documents are nodes, and two different texts are linked if the Jaccard index of their sets of ``words``-grams (lower
+    Distinct texts are nodes, and two of them are linked if the Jaccard index of their sets of ``words``-grams (lower
     case, split at white space; a shorter text is one gram) is at least ``threshold``. class_id is the least doc_id of the
     connected component, links the number of different texts that the text is linked with, copies the number of documents
     with exactly this text. Bands and rows are the pair with most rows, within ``hashes``, that finds a pair at the
@@ -52,41 +83,20 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall:
     inside a cluster all pairs are compared exactly, block by block.
 
     A text without words (null, empty) is linked with nothing; equal ones are copies. Rows repeated with one doc_id and
-    text are copies of each other in one class; different texts under one doc_id share its node. Rows without doc_id get a null
-    class, no links. Other columns are not read; an empty table gives no rows.
+    text are copies of each other in one class; different texts under one doc_id are nodes of their own. Rows without doc_id
+    take part; their class is null only where no row of it has an id. Other columns are not read; an empty table gives no rows.
     """
-    bands, rows = choose_bands(threshold, recall, hashes)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slim = stored(
-        source.mapInArrow(_signed(words, bands, rows), "doc_id long, key binary, shingles long, bands array<long>"), "signed"
-    )
-    texts = stored(
-        slim.groupBy("key").agg(
-            F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("shingles").alias("weight"), F.first("bands").alias("bands")
-        ),
-        "texts",
-    )
-    clusters = components(star_edges(texts.where("id is not null").select("id", "bands"), "near"), "candidates")
-    weights = texts.where("id is not null").groupBy("id").agg(F.max("weight").alias("weight"))
-    chosen = stored(clusters.join(weights, "id").select(F.col("root").alias("cluster"), "id", "weight"), "clusters")
-    bodies = source.withColumnRenamed("doc_id", "id").where("text is not null")
-    links = verified(chosen, bodies, word_shingles, words, threshold, "near")
-    classes = components(links.select("id", "other"), "classes")
-    per_id = links.groupBy("id").agg(F.sum("links").alias("links")).join(classes, "id", "left")
-    by_key = texts.drop("bands", "weight").join(per_id, "id", "left")
-    named = by_key.select(
-        "key", "copies", F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
-    )
-    missing = F.col("doc_id").isNull()
-    return slim.select("doc_id", "key").join(named, "key").select(
-        "doc_id",
-        F.when(~missing, F.col("class_id")).alias("class_id"),
-        F.when(missing, F.lit(0)).otherwise(F.col("links")).cast("long").alias("links"),
-        "copies",
-    )
+    rows, texts = _classified(docs, words, threshold, recall, hashes)
+    return rows.join(texts, "key").select("doc_id", "class_id", "links", "copies")
 
 
-def one_per_class(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of their class, and those without doc_id; all columns as they are."""
-    gone = joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def one_per_class(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.99, hashes: int = 128) -> DataFrame:
+    """One row of ``docs`` for each class of ``ngram_join``, the one with the least doc_id (those without come last); all
+    columns as they are. Rows with equal texts are combined before they are sent."""
+    _, texts = _classified(docs, words, threshold, recall, hashes)
+    key, row, other = free(docs, "_key", "_row", "_other")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    once = docs.groupBy(F.unhex(F.sha2(text, 256)).alias(key)).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias(row))
+    kept = once.join(texts.where("stays").select(F.col("key").alias(other)).hint("merge"), F.col(key) == F.col(other))
+    return kept.select(*(F.col(row)[c].alias(c) for c in docs.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fuzzy_lines import fuzzy_lines, without_repeats
 from .mixing import mixed_rows, pareto_mix
-from .ngram_join import ngram_join, one_per_class
+from .ngram_join import one_per_class
 from .packing import pack
 from .quality import classify, keep_good
 
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_per_class(docs, ngram_join(docs))
+    return one_per_class(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

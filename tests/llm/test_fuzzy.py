@@ -11,6 +11,7 @@ import pytest
 
 from syllabary.llm import ann, linking, suffix_dedup
 from syllabary.llm.fuzzy_lines import fuzzy_lines, without_repeats
+from syllabary.llm.mixing import mixed_rows, pareto_mix
 from syllabary.llm.ngram_join import ngram_join, one_per_class
 from syllabary.llm.quality import classify, keep_good
 from syllabary.llm.shingles import choose_bands, signatures, word_shingles
@@ -77,16 +78,23 @@ def test_ngram_join(spark, monkeypatch, block):
     joined = ngram_join(docs)
     got = {r["doc_id"]: (r["class_id"], r["links"], r["copies"]) for r in joined.collect()}
     assert got == {d: (least[root[t]], links[t], copies[t]) for d, t in text.items()}
-    left = one_per_class(docs, joined)
+    left = one_per_class(docs)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(least.values())
 
 
 def test_ngram_join_of_odd_rows(spark):
     rows = [(1, "a b c d e f", None, None, 1)] * 2 + [(None, "a b c d e f", None, None, 1), (2, None, None, None, 1), (3, "A b  c d\ne f", None, None, 1), (3, "z", None, None, 1)]
     got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["links"], r["copies"]) for r in ngram_join(frame(spark, rows)).collect())
-    assert got == [(0, 0, 0, 3), (1, 1, 1, 3), (1, 1, 1, 3), (2, 2, 0, 1), (3, 1, 1, 1), (3, 1, 1, 1)]
+    assert got == [(0, 1, 1, 3), (1, 1, 1, 3), (1, 1, 1, 3), (2, 2, 0, 1), (3, 1, 1, 1), (3, 3, 0, 1)]
     assert ngram_join(frame(spark, [])).count() == 0
-    assert {r["doc_id"] or 0 for r in one_per_class(frame(spark, rows), ngram_join(frame(spark, rows))).collect()} == {0, 1, 2}
+    clash = frame(spark, rows).selectExpr("*", "7 as _key", "8 as _row", "9 as _other", "10 as __key", "11 as stays")
+    left = one_per_class(clash)
+    assert left.columns == clash.columns and sorted((r["doc_id"], r["text"], r["_row"]) for r in left.collect() if r["text"]) == [
+        (1, "a b c d e f", 8), (3, "z", 8)]
+    assert left.count() == 3
+    nameless = [(None, r[1] + f" {k % 3}", None, None, 1) for k in range(6) for r in [(0, " ".join(f"w{i}" for i in range(60)))]]
+    assert {(r["class_id"], r["links"], r["copies"]) for r in ngram_join(frame(spark, nameless)).collect()} == {(None, 2, 2)}
+    assert one_per_class(frame(spark, nameless)).count() == 1
 
 
 def test_bands_and_signatures():
@@ -137,6 +145,38 @@ def test_fuzzy_lines_of_odd_rows(spark):
     assert without_repeats(frame(spark, rows), fuzzy_lines(frame(spark, rows))).count() == 4
 
 
+@pytest.mark.parametrize("named", [True, False])
+def test_fuzzy_lines_where_rows_share_an_id(spark, named):
+    rng = random.Random(8)
+    rows, texts = [], []
+    for g in range(8):
+        base = "".join(rng.choice("abcdefghijklmnop") for _ in range(120))
+        x, y, z = base[:100], base[8:], base[10:]
+        texts += [x, y, z]
+        shared = 100 + g if named else None
+        rows += [(shared, y, None, None, 1), (shared, x, None, None, 1), (1 + g, z, None, None, 1)]
+    _, root = classes(sorted(texts), char_grams)
+    got = fuzzy_lines(frame(spark, rows))
+    assert got.count() == 24
+    least = {}
+    for doc, text, *_ in rows:
+        place = (doc is None, doc or 0)
+        least[root[text]] = min(least.get(root[text], place), place)
+    want = Counter((doc, (doc is None, doc or 0) == least[root[text]]) for doc, text, *_ in rows)
+    assert Counter((r["doc_id"], r["kept"]) for r in got.collect()) == want
+    stay = [(doc, text) for doc, text, *_ in rows if doc is None or (doc is None, doc or 0) == least[root[text]]]
+    assert sorted((r["text"], r["doc_id"]) for r in without_repeats(frame(spark, rows), got).collect() if r["doc_id"]) == sorted((t, d) for d, t in stay if d)
+
+
+def test_clashing_names_survive(spark):
+    rows = [(1, "one line of some length\ntwo", "en", "a", 27), (2, "one line of some length\nthree words here", "en", "a", 40), (2, "x y", "en", "b", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *(f"{k} as `{n}`" for k, n in enumerate(("_drops", "_doc", "_some", "_nth", "_times", "_k", "_copy", "_hash", "_gone"))))
+    left = without_repeats(docs, fuzzy_lines(docs))
+    assert left.columns == docs.columns and {r["_drops"] for r in left.collect()} == {0} and left.where("doc_id = 2 and text = 'three words here'").count() == 1
+    mixed = mixed_rows(docs, pareto_mix(docs))
+    assert mixed.columns == docs.columns and {(r["_nth"], r["_times"], r["_k"], r["_copy"]) for r in mixed.collect()} == {(3, 4, 5, 6)}
+
+
 def test_fuzzy_lines_of_one_character(spark):
     rows = [(1, "-" * 12, None, None, 1), (2, "-" * 8 + "\n" + "-" * 7, None, None, 1), (3, "=" * 8, None, None, 1), (4, "-" * 8, None, None, 1)]
     got = {(r["doc_id"], r["line"]): (r["keep_doc"], r["kept"]) for r in fuzzy_lines(frame(spark, rows)).collect()}
@@ -328,6 +368,43 @@ def test_quality_on_documents_it_was_not_fitted_on(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
 
 
+def test_rates_are_those_of_plain_python(spark):
+    """Host and path posteriors and the method-of-moments strengths, recomputed from the evidence of each document."""
+    docs, labels, _ = labelled(spark)
+    got = classify(spark, docs, labels).collect()
+
+    def strength(groups, centres):
+        n = np.array([len(g) for g in groups], float)
+        total = np.array([sum(g) for g in groups])
+        inside = sum(sum(x * x for x in g) - sum(g) ** 2 / len(g) for g in groups)
+        between = (n * (total / n - np.array(centres)) ** 2).sum()
+        size, k = n.sum(), len(groups)
+        if k < 2 or size <= k or not total.sum():
+            return 1e6
+        spread = (between - (k - 1) * inside / (size - k)) / max(size - (n * n).sum() / size, 1e-9)
+        mean = total.sum() / size
+        return float(np.clip(mean * (1 - mean) / spread - 1, 1, 1e6)) if spread > 0 else 1e6
+
+    hosts, paths = {}, {}
+    for r in got:
+        hosts.setdefault(r["host"], []).append(r["evidence"])
+        paths.setdefault((r["host"], r["path"]), []).append(r["evidence"])
+    mean = sum(r["evidence"] for r in got) / len(got)
+    w = strength(list(hosts.values()), [mean] * len(hosts))
+    host_rate = {h: (w * mean + sum(g)) / (w + len(g)) for h, g in hosts.items()}
+    w = strength(list(paths.values()), [host_rate[h] for h, _ in paths])
+    path_rate = {k: (w * host_rate[k[0]] + sum(g)) / (w + len(g)) for k, g in paths.items()}
+    shifts = []
+    for r in got:
+        assert r["host_rate"] == pytest.approx(host_rate[r["host"]], rel=1e-6)
+        assert r["path_rate"] == pytest.approx(path_rate[r["host"], r["path"]], rel=1e-6)
+        assert r["kept"] == (r["posterior"] < 0.5)
+        logit = lambda p: np.log(p / (1 - p))
+        if 1e-9 < r["evidence"] < 1 - 1e-9 and 1e-9 < r["posterior"] < 1 - 1e-9:
+            shifts.append(logit(r["posterior"]) - logit(r["evidence"]) - logit(r["path_rate"]))
+    assert max(shifts) - min(shifts) < 1e-3  # the share of bad documents in training, the same for all
+
+
 def test_quality_of_odd_tables(spark):
     docs, labels, _ = labelled(spark, 80)
     none = labels.limit(0)
