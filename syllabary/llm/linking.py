@@ -15,6 +15,8 @@ from .common import stored
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1_000_000
 #: Clusters of up to so many members share groups of about so many shingles.
 FEW, SHARED_SHINGLES = 16, 250_000
+#: Edges of a graph in one part.
+EDGES = 250_000
 
 
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -84,14 +86,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
                 current.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
             )
         mark = seen
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # As many parts as the edges need, so that the last rounds of a small graph are a few tasks each.
+        parts = 1 + seen[0] // EDGES
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition(parts, "a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{name}-large")
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.repartition(parts, "a").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        under = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = stored(
-            lowest.select("a", F.col("m").alias("b")).unionByName(under).where("a <> b").distinct(), f"{name}-small"
-        )
+        under = large.join(lowest.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = lowest.select("a", F.col("m").alias("b")).unionByName(under).where("a <> b").repartition(parts, "a")
+        current = stored(small.distinct(), f"{name}-stars")
 
 
 def _jaccard_links(hashes: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -162,20 +166,28 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 FILTER_BITS, WORD = 1 << 24, 32
 
 
+def _bit(of: str) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """Hashes of the keys as a bitmap of at most half a million rows, whatever the number of keys."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_bit") % WORD).cast("int"))
+    bits = keys.select(_bit(key).alias("_bit")).select(F.floor(F.col("_bit") / WORD).alias("_word"), mask.alias("_mask"))
+    return stored(bits.groupBy("_word").agg(F.bit_or("_mask").alias("_mask")), "bitmap")
+
+
+def marked(rows: DataFrame, bits: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: whether ``key`` may be one of the bitmap's; false is certain. Only the bitmap is sent."""
+    placed = rows.withColumn("_bit", _bit(key)).withColumn("_at", F.floor(F.col("_bit") / WORD))
+    met = placed.join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
+    here = F.call_function("shiftright", F.col("_mask"), (F.col("_bit") % WORD).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return met.select(*rows.columns, F.coalesce(here, F.lit(False)).alias(flag))
+
+
 def prefiltered(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` without most of those whose ``key`` isn't in ``keys``, and with all others: a bitmap of hashes, never more
-    than half a million rows, is sent to all tasks, so that few rows are sent the other way. An exact join has to follow."""
-    def bit(of: str) -> Column:
-        return F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
-
-    within = (F.col("_bit") % WORD).cast("int")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), within)
-    bits = keys.select(bit(key).alias("_bit")).select(F.floor(F.col("_bit") / WORD).alias("_word"), mask.alias("_mask"))
-    bitmap = stored(bits.groupBy("_word").agg(F.bit_or("_mask").alias("_mask")), "bitmap")
-    marked = rows.withColumn("_bit", bit(key)).withColumn("_at", F.floor(F.col("_bit") / WORD))
-    met = marked.join(F.broadcast(bitmap), F.col("_at") == F.col("_word"))
-    here = F.call_function("shiftright", F.col("_mask"), within).bitwiseAND(F.lit(1).cast("long")) == 1
-    return met.where(here).select(*rows.columns)
+    """``rows`` without most of those whose ``key`` isn't in ``keys``, and with all others; an exact join has to follow."""
+    return marked(rows, bitmap(keys, key), key, "_maybe").where("_maybe").drop("_maybe")
 
 
 def verified(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
+from .linking import bitmap, marked
 from .ranges import carried, first_of_group, same
 from .url_lists import host_of, path_of
 
@@ -57,7 +58,7 @@ def write_archives(captures: DataFrame, path: str, least: int = LEAST) -> None:
     all responses. Rows without page_id come last in that order, and of rows repeated with one page_id one is the response.
     Each row has a record ID of its own. A null URL or day leaves its field out; line breaks in a URL are percent-encoded.
     Archives are plain files, one per task, and any of them can be cut into splits for reading. Equal payloads are combined
-    before they are sent, so a payload that a third of all captures share is sent once a task.
+    before they are sent, so a payload that a third of all captures share is sent once a task, and others not at all.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = captures.select(
@@ -68,16 +69,24 @@ def write_archives(captures: DataFrame, path: str, least: int = LEAST) -> None:
         F.sha2(html.cast("binary"), 256).alias("digest"),
         F.octet_length(html).cast("long").alias("size"),
     )
-    # Who is a response is settled without payloads. Each payload is then sent once, to the response of its digest.
+    # Who is a response is settled without payloads. A payload that may be repeated is then sent once, to the response of its
+    # digest; any other one is written where it is read, as a response whose name needs no number.
     large = F.col("size") >= least
-    slim = rows.withColumn("html", F.when(~large, F.col("html"))).withColumn("row", F.monotonically_increasing_id())
-    hexed = F.md5(F.concat_ws("\n", F.col("row").cast("string"), F.col("page_id").cast("string"), "digest", "url"))
     cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    urn = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(hexed, at, n) for at, n in cuts)), F.lit(">"))
-    slim = stored(slim.withColumn("record_id", urn), "captures")
+
+    def urn(number: Column) -> Column:
+        hexed = F.md5(F.concat_ws("\n", number.cast("string"), F.col("page_id").cast("string"), "digest", "url"))
+        return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(hexed, at, n) for at, n in cuts)), F.lit(">"))
+
+    slim = rows.withColumn("html", F.when(~large, F.col("html"))).withColumn("row", F.monotonically_increasing_id())
+    slim = stored(slim.withColumn("record_id", urn(F.col("row"))), "captures")
     value = F.struct(F.col("page_id").isNull().alias("nameless"), "page_id", "row", "record_id", "url", "date")
     found = stored(first_of_group(slim.where(large).drop("html"), ["digest"], ["page_id", "row"], value, "payloads"), "firsts")
-    bodies = rows.where(large).groupBy(F.col("digest").alias("_digest")).agg(F.first("html").alias("html"))
+    repeated = bitmap(found.where("row <> first.row"), "digest")
+    told = marked(rows.where(large), repeated, "digest", "_again")
+    own = told.where("not _again").withColumn("record_id", urn(F.lit(None)))
+    found = marked(found, repeated, "digest", "_again").where("_again")
+    bodies = told.where("_again").groupBy(F.col("digest").alias("_digest")).agg(F.first("html").alias("html"))
     first = F.struct(F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("date"))
     columns = ["page_id", "url", "date", "digest", "size", "record_id"]
     again = found.where("row <> first.row").select(
@@ -85,6 +94,7 @@ def write_archives(captures: DataFrame, path: str, least: int = LEAST) -> None:
     )
     news = found.where("row = first.row").join(bodies.hint("merge"), F.col("digest") == F.col("_digest")).select(*columns, "html", first.alias("first"))
     joined = slim.where(~large).select(*columns, "html", first.alias("first")).unionByName(news).unionByName(again)
+    joined = joined.unionByName(own.select(*columns, "html", first.alias("first")))
     revisit = F.col("first.record_id").isNotNull()
 
     def field(name: str, text: Column) -> Column:
