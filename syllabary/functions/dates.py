@@ -23,10 +23,15 @@ _EXAM = r"(?U)^\w{2}, (\d{1,2}\. \w{3}\.? \d{4}), (\d{2}:\d{2}) - (\d{2}:\d{2})"
 
 def german_date(c: Column) -> Column:
     """``15. Jul. 2026`` (dots optional) as a date; unknown months and impossible days give NULL."""
-    name = F.regexp_extract(c, _DATE, 2)
-    month = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in MONTHS.items()])
-    text = F.concat_ws("-", F.regexp_extract(c, _DATE, 3), month.cast("string"), F.regexp_extract(c, _DATE, 1))
-    return F.when(month.isNotNull(), F.try_to_date(text, "yyyy-M-d"))
+    numbers = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    found = F.array(*[F.regexp_extract(c, _DATE, k) for k in (3, 2, 1)])
+
+    def dated(parts: Column) -> Column:
+        month = F.try_element_at(numbers, F.get(parts, 1))
+        return F.when(month.isNotNull(), F.try_to_date(F.concat_ws("-", F.get(parts, 0), month.cast("string"), F.get(parts, 2)), "yyyy-M-d"))
+
+    # Bound as the item of a list, so that each part is extracted once.
+    return F.get(F.transform(F.array(found), dated), 0)
 
 
 def clock_minutes(c: Column) -> Column:

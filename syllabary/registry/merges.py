@@ -15,7 +15,7 @@ from syllabary.operators import relations
 from syllabary.operators.schedule import are_weekly
 from syllabary.plans import load as L
 from syllabary.registry.base import add, on_star, on_table
-from syllabary.registry.star import table, with_views
+from syllabary.registry.star import dealt, table, with_views
 from syllabary.store import Store
 
 SEMESTER = "concat(CASE WHEN month({0}) BETWEEN 4 AND 9 THEN 'SoSe ' ELSE 'WiSe ' END, year({0}))"
@@ -48,7 +48,7 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("lineitem", "orders", "part", "supplier")
     tables = {n: table(spark, sf_dir, n) for n in names}
     # Dealt by the key of the first join, whatever the size: the records are made and read again row by row.
-    tables["lineitem"] = tables["lineitem"].repartition("l_orderkey")
+    tables["lineitem"] = dealt(tables["lineitem"], "l_orderkey")
     return spark.sql(_bind(FLAT), **tables)
 
 

@@ -9,12 +9,19 @@ from syllabary.functions import text
 from syllabary.plans import reconcile as R
 from syllabary.registry.base import add
 from syllabary.registry.scalars import _german
-from syllabary.registry.star import star_store, table
+from syllabary.registry.star import dealt, star_store, table
 from syllabary.sources import pages as P
 
 
-def given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.elements(table(spark, sf_dir, "pages"))
+def given(spark: SparkSession, sf_dir: str, *uses) -> DataFrame:
+    return P.elements(table(spark, sf_dir, "pages"), *uses)
+
+
+def _decoded(sql: str) -> str:
+    """SQL for the character references that the given pages hold."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{name}', '{char}')"
+    return sql
 
 
 def _html(*parts: str | Column) -> Column:
@@ -23,7 +30,7 @@ def _html(*parts: str | Column) -> Column:
 
 def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per event: a header, a staff field and a session table with one row."""
-    e = table(spark, sf_dir, "events").repartition("event_id")  # pages are costly to make and read: dealt at any size
+    e = dealt(table(spark, sf_dir, "events"), "event_id")  # pages are costly to make and read
     room = F.when(F.col("event_type") == "error", F.lit("")).otherwise(
         _html('<a name="appointmentRooms" href="r"><span>Room ', F.col("user_id") % 25, "</span></a>",
               F.when(F.col("user_id") % 4 == 0, _html("<span>Annex ", F.col("user_id") % 3, "</span>")).otherwise("")))
@@ -42,7 +49,7 @@ def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def module_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order: fields, requirement lines, an exam row and an achievement row."""
-    o = table(spark, sf_dir, "orders").repartition("o_orderkey")
+    o = dealt(table(spark, sf_dir, "orders"), "o_orderkey")
 
     def field(label: str, value: Column) -> Column:
         return _html(f'<div><span class="font-semibold break-all">{label}:</span> <div>', value, "</div></div>")
@@ -75,12 +82,12 @@ def room_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("https://c.example.org/x?PRGNAME=ACTION&ARGUMENTS=-A"), "s_suppkey").alias("url"), html.alias("html"))
 
 
-def _courses(run):
-    return lambda spark, d: run(P.elements(course_pages(spark, d)))
+def _courses(run, *uses):
+    return lambda spark, d: run(P.elements(course_pages(spark, d), *uses))
 
 
-def _modules(run):
-    return lambda spark, d: run(P.elements(module_pages(spark, d)))
+def _modules(run, *uses):
+    return lambda spark, d: run(P.elements(module_pages(spark, d), *uses))
 
 
 def _id() -> Column:
@@ -91,52 +98,59 @@ add(
     "pages_classify", lambda spark, d: P.kinds(course_pages(spark, d).unionByName(module_pages(spark, d))),
     "SELECT 'COURSEDETAILS' AS kind, count(*) AS n FROM events UNION ALL SELECT 'MODULEDETAILS', count(*) FROM orders",
 )
-add("pages_header_given", lambda spark, d: P.headers(given(spark, d)).select(_id(), "header"))
 add(
-    "pages_header", _modules(lambda e: P.headers(e).select(_id(), "number", "name", "malformed")),
+    "pages_header_given", lambda spark, d: P.headers(given(spark, d, P.headers)).select(_id(), "header"),
+    # The text of the first h1, each piece between tags trimmed of white space, character references read.
+    rf"""WITH h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's') AS inside FROM pages WHERE regexp_matches(html, '<h1[ >]'))
+    SELECT page_id, {_decoded("list_reduce(list_transform(regexp_split_to_array(inside, '<[^>]*>'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x, y: x || y)")} AS header FROM h""",
+)
+add(
+    "pages_header", _modules(lambda e: P.headers(e).select(_id(), "number", "name", "malformed"), P.headers),
     "SELECT o_orderkey AS page_id, concat('10-', o_orderkey) AS number, concat('Module', o_orderpriority) AS name, FALSE AS malformed FROM orders",
 )
-add("pages_links_given", lambda spark, d: P.links(given(spark, d)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).select(_id(), "n"))
+add("pages_links_given", lambda spark, d: P.links(given(spark, d, P.links)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).select(_id(), "n"),
+    rf"""SELECT page_id, count(DISTINCT href) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'gs'),
+             '<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
 add(
-    "pages_links", _modules(lambda e: P.course_links(e).select(_id(), "href", "text")),
+    "pages_links", _modules(lambda e: P.course_links(e).select(_id(), "href", "text"), P.course_links),
     "SELECT o_orderkey AS page_id, concat('/x?PRGNAME=COURSEDETAILS&n=', o_custkey) AS href, 'a' AS text FROM orders",
 )
 add(
-    "pages_labels", _modules(lambda e: P.module_rows(e).select(_id(), "number", "credits", "duration_semesters", F.element_at("prerequisites", F.lit("A")).alias("a"), F.element_at("prerequisites", F.lit("B (x: y)")).alias("b"), F.element_at("prerequisites", F.lit("allgemein")).alias("general"))),
+    "pages_labels", _modules(lambda e: P.module_rows(e).select(_id(), "number", "credits", "duration_semesters", F.element_at("prerequisites", F.lit("A")).alias("a"), F.element_at("prerequisites", F.lit("B (x: y)")).alias("b"), F.element_at("prerequisites", F.lit("allgemein")).alias("general")), P.module_rows),
     """SELECT o_orderkey AS page_id, concat('10-', o_orderkey) AS number, o_custkey % 30 + 0.5 AS credits, CAST(o_custkey % 3 AS INT) AS duration_semesters,
               CAST(o_custkey AS VARCHAR) AS a, 'z' AS b, concat('free ', o_orderstatus) AS general FROM orders""",
 )
 add(
-    "pages_course_labels", _courses(lambda e: P.course_rows(e).select(_id(), "number", "name", "type", F.array_join("staff", "|").alias("staff"))),
+    "pages_course_labels", _courses(lambda e: P.course_rows(e).select(_id(), "number", "name", "type", F.array_join("staff", "|").alias("staff")), P.course_rows),
     "SELECT event_id AS page_id, concat('K', event_id) AS number, concat('Course ', event_type) AS name, event_type AS type, concat('P', user_id, '|Q') AS staff FROM events",
 )
 add(
-    "pages_sessions", _courses(lambda e: P.sessions(e).select(_id(), "number", "event_date", "start_min", F.coalesce("end_min", F.lit(-1)).alias("end_min"), "room", F.array_join("rooms", "|").alias("rooms"), F.array_join("staff", "|").alias("staff"))),
+    "pages_sessions", _courses(lambda e: P.sessions(e).select(_id(), "number", "event_date", "start_min", F.coalesce("end_min", F.lit(-1)).alias("end_min"), "room", F.array_join("rooms", "|").alias("rooms"), F.array_join("staff", "|").alias("staff")), P.sessions),
     """SELECT event_id AS page_id, '1' AS number, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, CAST(hour(ts) * 60 + minute(ts) AS INT) AS start_min,
               CASE WHEN event_type = 'view' THEN -1 ELSE 1439 END AS end_min, CASE WHEN event_type = 'error' THEN '' ELSE concat('Room ', user_id % 25) END AS room,
               CASE WHEN event_type = 'error' THEN '' WHEN user_id % 4 = 0 THEN concat('Room ', user_id % 25, '|Annex ', user_id % 3) ELSE concat('Room ', user_id % 25) END AS rooms,
               concat('P', user_id, '|P', user_id + 1) AS staff FROM events""",
 )
 add(
-    "pages_cells", _courses(lambda e: e.where("tag = 'td' and name = 'appointmentInstructors'").select(_id(), F.array_join("cell_values", "|").alias("cell"))),
+    "pages_cells", _courses(lambda e: e.where("tag = 'td' and name = 'appointmentInstructors'").select(_id(), F.array_join("cell_values", "|").alias("cell")), P.sessions),
     "SELECT event_id AS page_id, concat('P', user_id, '|P', user_id + 1) AS cell FROM events",
 )
 add(
-    "pages_course_exams", _courses(lambda e: P.course_exams(e).select(_id(), "name", P.dates.german_date(F.col("date_text")).alias("day"))),
+    "pages_course_exams", _courses(lambda e: P.course_exams(e).select(_id(), "name", P.dates.german_date(F.col("date_text")).alias("day")), P.course_exams),
     "SELECT event_id AS page_id, 'Test' AS name, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events",
 )
 add(
-    "pages_exams", _modules(lambda e: P.exams(e).select(_id(), "name", "date", F.coalesce("start_min", F.lit(-1)).alias("start_min"), "required")),
+    "pages_exams", _modules(lambda e: P.exams(e).select(_id(), "name", "date", F.coalesce("start_min", F.lit(-1)).alias("start_min"), "required"), P.exams),
     """SELECT o_orderkey AS page_id, concat('Exam ', o_orderstatus) AS name, CASE WHEN o_orderstatus = 'O' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date,
               CASE WHEN o_orderstatus = 'O' THEN 510 ELSE -1 END AS start_min, TRUE AS required FROM orders""",
 )
 add(
-    "pages_achievements", _modules(lambda e: P.achievements(e).select(_id(), "name", "required", "weight", "combination")),
+    "pages_achievements", _modules(lambda e: P.achievements(e).select(_id(), "name", "required", "weight", "combination"), P.achievements),
     """SELECT o_orderkey AS page_id, concat('Paper ', o_orderstatus) AS name, o_orderstatus = 'O' AS required, o_custkey % 5 + 0.5 AS weight,
               CASE WHEN o_orderstatus = 'O' THEN 'Ja' ELSE 'Nein' END AS combination FROM orders""",
 )
 add(
-    "pages_rooms", lambda spark, d: P.rooms(P.elements(room_pages(spark, d))).select(_id(), "name", "seats", "size", F.col("building.name").alias("building"), F.col("building.address").alias("address")),
+    "pages_rooms", lambda spark, d: P.rooms(P.elements(room_pages(spark, d), P.rooms)).select(_id(), "name", "seats", "size", F.col("building.name").alias("building"), F.col("building.address").alias("address")),
     """SELECT s_suppkey AS page_id, s_name AS name, CAST(s_suppkey AS INT) AS seats, s_nationkey + 0.5 AS size, concat('House ', s_nationkey) AS building,
               concat('Street ', s_nationkey, ', City') AS address FROM supplier""",
 )
@@ -149,7 +163,7 @@ def _room_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("room_page_index", _room_index, "SELECT s_suppkey AS page_id, sha1(lower(s_name)) AS key FROM supplier WHERE s_nationkey >= 5")
 add(
-    "warning_sink", _modules(lambda e: P.unknown_labels(P.module_labels(e), P.MODULE_LABELS).select("kind", "message", F.col("context")["page_id"].cast("long").alias("page_id"))),
+    "warning_sink", _modules(lambda e: P.unknown_labels(P.module_labels(e), P.MODULE_LABELS).select("kind", "message", F.col("context")["page_id"].cast("long").alias("page_id")), P.module_labels),
     "SELECT 'unknown_label' AS kind, 'Neues Feld' AS message, o_orderkey AS page_id FROM orders",
 )
 

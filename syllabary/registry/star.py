@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by a key, for work in Python or JSON on each row: in a number of parts that the session gives and no
+    adaptive plan merges, as it only sees few bytes."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key)
+
+
 # The tables themselves are without faults, so some of their rows come a second time under ids above FAULTY: as modules,
 # courses, events, rooms, people and terms that break a rule each. They are added, and no row is left out.
 FAULTY = 100_000_000

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,47 +46,102 @@ ROOM_LABELS = {
 BUILDING_LABELS = {"Name": "name", "Kürzel": "short_name", "Adresse": "address"}
 LABEL_CLASSES = {"font-semibold", "break-all"}
 MOBILE_LABEL = "lg:hidden"
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-KEPT = frozenset("h1 a td th tr table span div b dt dd".split())
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+KEPT = ("h1", "a", "td", "th", "tr", "table", "span", "div", "b", "dt", "dd")
 # ------------------------------------------------------------------------------------------------------
 
 ELEMENT_DDL = """page_id string, node int, parent int, tag string, name string, classes array<string>, href string,
     area array<string>, tbl int, tr int, td int, pos int, box int, label string, section string, heading string,
     summary string, direct boolean, text string, flat string, glued string, n_lines int, cell_values array<string>"""
-_COLUMNS = [part.split()[0] for part in ELEMENT_DDL.replace("\n", " ").split(",")]
+_TYPES = {part.split()[0]: part.split()[1] for part in ELEMENT_DDL.replace("\n", " ").split(",")}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_SPACE = re.compile(r"\s+")
+
+Span = tuple[int, int]  # of words
+
+
+class _Buffers:
+    """The text of a page, written once: what an element says is a slice of it, given by where it starts and ends."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []  # pieces of text without the white space around them
+        self.lines: list[str] = []  # squeezed text, a break being a line feed and other white space a blank
+        self.length = self.gap = 0  # of ``lines``; white space that waits for what follows: 1 a blank, 2 a break
+
+    def put(self, piece: str) -> None:
+        core = piece.strip()
+        if not core:
+            self.gap = max(self.gap, 2 if "\n" in piece else 1 if piece else 0)
+            return
+        head = piece[: len(piece) - len(piece.lstrip())]
+        gap = max(self.gap, 2 if "\n" in head else 1 if head else 0)
+        squeezed = "\n".join(filter(None, (" ".join(line.split()) for line in core.split("\n"))))
+        if gap:
+            squeezed = "\n "[2 - gap] + squeezed
+        self.lines.append(squeezed)
+        self.length += len(squeezed)
+        tail = piece[len(piece.rstrip()) :]
+        self.gap = 2 if "\n" in tail else 1 if tail else 0
+
+    def text(self, data: str) -> None:
+        if word := data.strip():
+            self.words.append(word)
+        self.put(data)
+
+    def seal(self) -> None:
+        """Join the buffers and note where each word starts in them."""
+        self.whole, self.flat, self.glued = "".join(self.lines), " ".join(self.words), "".join(self.words)
+        self.at, self.line_at = [0], [0]
+        for word in self.words:
+            self.at.append(self.at[-1] + len(word))
+            self.line_at.append(self.line_at[-1] + (sum(1 for x in word.split("\n") if x.strip()) if "\n" in word else 1))
+
+    def flat_of(self, span: Span) -> str:
+        start, end = span
+        return self.flat[self.at[start] + start : self.at[end] + end - 1] if end > start else ""
+
+    def glued_of(self, span: Span) -> str:
+        return self.glued[self.at[span[0]] : self.at[span[1]]]
+
+    def n_lines(self, span: Span) -> int:
+        return self.line_at[span[1]] - self.line_at[span[0]]
 
 
 class _Elements(HTMLParser):
-    """Open elements with what their rows need; a row is emitted when its element closes."""
+    """Open elements with what their rows need; an element closes with the spans of its text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
-        self.pieces: list[tuple[bool, str]] = []  # (is text, characters)
+        self.buffers = _Buffers()
+        self.open: dict[str, int] = {}  # open elements by tag
         self.rows: list[dict] = []
         self.count = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.pieces.append((False, "\n" if tag in BLOCK_TAGS else " "))
+        self.buffers.put("\n" if tag in BLOCK_TAGS else " ")
         up = self.stack[-1] if self.stack else {}
         a = {k: v or "" for k, v in attrs}
         classes = a.get("class", "").split()
         e = {
             "node": self.count, "parent": up.get("node"), "tag": tag, "name": a.get("name"), "classes": classes,
-            "href": a.get("href"), "summary": a.get("summary", up.get("summary")), "start": len(self.pieces),
-            "area": up.get("area", []) + ([a["id"]] if a.get("id") else []), "label": None, "direct": False,
-            "values": None, "tables": False, "pos": None, "cells": 0, "group": up.get("group"),
+            "href": a.get("href"), "summary": a.get("summary", up.get("summary")),
+            "from": len(self.buffers.words), "begin": self.buffers.length,
+            "area": up["area"] + [a["id"]] if a.get("id") and up else [a["id"]] if a.get("id") else up.get("area", []),
+            "label": None, "direct": False, "values": None, "tables": False, "pos": None, "cells": 0, "group": up.get("group"),
+            # The heading of the nearest section, for the tables in it.
+            "near": up.get("head", up.get("near")),
         }
-        for key in ("tbl", "tr", "td", "box", "heading", "open_spans"):
+        for key in ("tbl", "tr", "td", "box", "heading", "open_spans", "cell"):
             e[key] = up.get(key)
         self.count += 1
         if tag == "table":
             e["tbl"] = e["node"]
-            e["heading"] = next((o["head"] for o in reversed(self.stack) if "head" in o), None)
+            e["heading"] = e["near"]
         elif tag == "tr":
             e["tr"] = e["node"]
         elif tag in ("td", "th"):
-            e["td"], e["open_spans"], e["values"] = e["node"], 0, []
+            e["td"], e["open_spans"], e["values"], e["cell"] = e["node"], 0, [], e
             e["direct"] = up.get("tag") == "tr"
             e["pos"] = up["cells"] if e["direct"] and tag == "td" else None
             up["cells"] = up.get("cells", 0) + (tag == "td")
@@ -102,6 +157,7 @@ class _Elements(HTMLParser):
         if tag in VOID:
             return
         self.stack.append(e)
+        self.open[tag] = self.open.get(tag, 0) + 1
         if tag == "span" and MOBILE_LABEL not in classes and e["open_spans"] is not None:
             e["outer"] = e["open_spans"] == 0
             e["open_spans"] += 1
@@ -112,48 +168,44 @@ class _Elements(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        self.pieces.append((True, data))
+        self.buffers.text(data)
 
     def handle_comment(self, data: str) -> None:
-        self.pieces.append((False, data))
+        self.buffers.put(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(e["tag"] == tag for e in self.stack):
+        if self.open.get(tag):
             while self._close()["tag"] != tag:
                 pass
 
     def _close(self) -> dict:
         e = self.stack.pop()
-        up = self.stack[-1] if self.stack else {}
         tag = e["tag"]
+        self.open[tag] -= 1
+        up = self.stack[-1] if self.stack else {}
         if tag in ("table", "dl"):
-            for other in self.stack:
-                other["tables"] = True
+            e["tables"] = True
+        if e["tables"]:
+            up["tables"] = True  # told level by level, as each ancestor closes later
         if tag not in KEPT:
             return e
-        wants_text = tag not in ("tr", "table") and not (tag == "div" and e["tables"] and e["label"] is None)
-        pieces = self.pieces[e["start"] :] if wants_text else []
-        words = [p.strip() for is_text, p in pieces if is_text and p.strip()]
-        flat = " ".join(words)
-        lines = [_SPACE.sub(" ", line).strip() for line in "".join(p for _, p in pieces).replace("\xa0", " ").split("\n")]
-        e["text"], e["flat"], e["glued"] = "\n".join(x for x in lines if x), flat, "".join(words)
-        e["n_lines"] = sum(1 for w in words for part in w.split("\n") if part.strip())
-        if e.get("outer"):
-            cell = next((o for o in reversed(self.stack) if o["tag"] in ("td", "th")), None)
-            if cell is not None:
-                cell["values"].append(flat)
-        if tag in ("td", "th") and not e["values"] and flat:
-            e["values"] = [flat]
+        told = tag not in ("tr", "table") and not (tag == "div" and e["tables"] and e["label"] is None)
+        span = (e["from"], len(self.buffers.words)) if told else (0, 0)
+        e["span"], e["end"] = span, self.buffers.length if told else e["begin"]
+        if e.get("outer") and e["cell"] is not None:
+            e["cell"]["values"].append(span)
+        if tag in ("td", "th") and not e["values"] and span[1] > span[0]:
+            e["values"] = [span]
         if LABEL_CLASSES <= set(e["classes"]):
-            up["pending"] = _SPACE.sub(" ", flat).strip().rstrip(":")
+            up["pending"] = ("label", span)
         if tag == "dt":
-            up["term"] = _SPACE.sub(" ", flat).strip()
+            up["term"] = ("term", span)
         if tag == "div":
             if "font-bold" in e["classes"] and e["group"] is not None:
-                e["group"].setdefault("section", flat)
+                e["group"].setdefault("section", span)
             # The first plain div of a section is its heading.
             if not e["tables"] and not e.get("divs"):
-                up.setdefault("head", flat)
+                up.setdefault("head", span)
             up["divs"] = True
         self.rows.append(e)
         return e
@@ -162,43 +214,74 @@ class _Elements(HTMLParser):
         self.close()
         while self.stack:
             self._close()
+        self.buffers.seal()
         return self.rows
 
 
-_SPACE = re.compile(r"\s+")
-
-
-def _page_rows(page_id: str, html: str) -> Iterator[dict]:
-    parser = _Elements()
-    parser.feed(html)
-    for e in parser.finish():
-        group = e.get("group")
-        e["page_id"] = page_id
-        e["section"] = group.get("section") if group is not None else None
-        e["cell_values"] = e["values"]
-        yield {c: e.get(c) for c in _COLUMNS}
-
-
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def as_frame(rows: list[dict]) -> pd.DataFrame:
-        ints = ("node", "parent", "tbl", "tr", "td", "pos", "box", "n_lines")
-        return pd.DataFrame(rows, columns=_COLUMNS).astype(dict.fromkeys(ints, "Int32"))
-
-    for frame in frames:
-        rows: list[dict] = []
-        for page_id, html in zip(frame["page_id"], frame["html"], strict=True):
-            rows.extend(_page_rows(page_id, html or ""))
-            if len(rows) > 20_000:
-                yield as_frame(rows)
-                rows = []
-        if rows:
-            yield as_frame(rows)
-
-
-def elements(pages: DataFrame) -> DataFrame:
-    """Rows of the elements of each page (page_id, url, html), in document order by ``node``."""
+def _value(column: str, e: dict, b: _Buffers):
+    """A column of an element's row, cut out of the buffers where it is text."""
+    if column == "text":
+        return b.whole[e["begin"] : e["end"]].strip()
+    if column == "flat":
+        return b.flat_of(e["span"])
+    if column == "glued":
+        return b.glued_of(e["span"])
+    if column == "n_lines":
+        return b.n_lines(e["span"])
+    if column == "label" and e["label"] is not None:
+        kind, span = e["label"]
+        label = _SPACE.sub(" ", b.flat_of(span)).strip()
+        return label.rstrip(":") if kind == "label" else label
+    if column == "section":
+        span = e["group"].get("section") if e["group"] is not None else None
+        return None if span is None else b.flat_of(span)
+    if column == "heading":
+        return None if e["heading"] is None else b.flat_of(e["heading"])
+    if column == "cell_values":
+        return None if e["values"] is None else [b.flat_of(span) for span in e["values"]]
+    return e.get(column)
+
+
+def _pages(columns: tuple[str, ...], tags: frozenset[str], labelled: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in columns]
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(values, _ARROW[_TYPES[c]]) for c, values in zip(columns, out, strict=True)]
+            for values in out:
+                values.clear()
+            return pa.record_batch(arrays, names=list(columns))
+
+        for batch in batches:
+            for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parser = _Elements()
+                parser.feed(html or "")
+                for e in parser.finish():
+                    if e["tag"] not in tags or (labelled and e["tag"] == "div" and e["label"] is None and e["box"] is None):
+                        continue
+                    e["page_id"] = page_id
+                    for c, values in zip(columns, out, strict=True):
+                        values.append(_value(c, e, parser.buffers))
+                if len(out[0]) > 20_000:
+                    yield flush()
+        if out[0]:
+            yield flush()
+
+    return run
+
+
+def elements(pages: DataFrame, *uses: Callable) -> DataFrame:
+    """Rows of the elements of each page (page_id, url, html), in document order by ``node``.
+
+    ``uses`` are the functions of this module that will read them: then only the tags and columns that these need are cut out
+    and sent to the JVM. Reading is linear in the page; what is sent is as long as the texts that are asked for.
+    """
+    needs = [NEEDS[u.__name__] for u in uses]
+    tags = frozenset(t for own, _ in needs for t in own) or frozenset(KEPT)
+    wanted = {c for _, own in needs for c in own} | {"page_id", "node", "tag"}
+    columns = tuple(c for c in _TYPES if not needs or c in wanted)
     slim = pages.select(F.col("page_id").cast("string").alias("page_id"), "html")
-    return slim.mapInPandas(_batches, ELEMENT_DDL)
+    return slim.mapInArrow(_pages(columns, tags, bool(needs)), ", ".join(f"{c} {_TYPES[c]}" for c in columns))
 
 
 def _cell(separator: str = " ") -> Column:
@@ -452,3 +535,21 @@ def course_rows(els: DataFrame) -> DataFrame:
         F.coalesce(hours, F.lit(0)).alias("weekly_hours"), "language", "org_unit", "official_description",
         "organisational", "literature",
     )
+
+
+_CELLS = ("name", "classes", "tr", "pos", "direct", "cell_values")
+#: Tags and columns that a function of this module reads, besides page_id, node and tag.
+NEEDS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "headers": (("h1",), ("glued",)),
+    "module_labels": (("div",), ("area", "label", "text", "flat", "glued", "n_lines")),
+    "course_labels": (("div", "span", "b"), ("area", "box", "parent", "text", "flat")),
+    "links": (("a",), ("name", "href", "flat")),
+    "course_links": (("a",), ("name", "href", "flat")),
+    "sessions": (("td",), (*_CELLS, "heading")),
+    "exams": (("td",), (*_CELLS, "heading")),
+    "achievements": (("td",), (*_CELLS, "summary")),
+    "course_exams": (("td",), ("name", "tr", "direct", "flat")),
+    "rooms": (("dd",), ("label", "direct", "section", "text")),
+    "module_rows": (("h1", "div"), ("area", "label", "text", "flat", "glued", "n_lines")),
+    "course_rows": (("h1", "div", "span", "b"), ("area", "box", "parent", "text", "flat", "glued")),
+}
