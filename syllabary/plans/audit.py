@@ -5,7 +5,7 @@ Count and sample of a check come from that one plan; `summary` runs any number o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,6 +20,40 @@ from syllabary.store import Store
 Rows = Callable[[Store], DataFrame]
 
 
+@dataclass(frozen=True)
+class Without:
+    """Rows of an entity that no link side names: those of a relation, or of the tables in ``links`` by a column of theirs."""
+
+    entity: str
+    relation: str = ""
+    links: tuple[tuple[str, str], ...] = ()
+
+    def __call__(self, store: Store) -> DataFrame:
+        if self.links:
+            return without_links(store[self.entity], "id", [(store[t], c) for t, c in self.links])
+        return where_related(store, store[self.entity], self.entity, self.relation, negate=True)
+
+    def sides(self, store: Store) -> tuple[tuple[str, str], ...] | None:
+        """(table, column) of the link sides that name a row by its id; None where another column is named."""
+        if self.links:
+            return self.links
+        relation = store.catalog.relation(self.entity, self.relation)
+        if relation.link is not None:
+            return ((relation.link, relation.near),)
+        return ((relation.target, relation.far),) if relation.near == "id" else None
+
+
+@dataclass(frozen=True)
+class Where:
+    """Rows of an entity on which a condition over their own columns holds."""
+
+    entity: str
+    condition: Callable[[], Column]
+
+    def __call__(self, store: Store) -> DataFrame:
+        return store[self.entity].where(self.condition())
+
+
 @dataclass(frozen=True)
 class Check:
     key: str
@@ -28,12 +62,7 @@ class Check:
     hint: str = ""
 
 
-def _without(entity: str, relation: str) -> Rows:
-    return lambda store: where_related(store, store[entity], entity, relation, negate=True)
-
-
-def _where(entity: str, condition: Callable[[], Column]) -> Rows:
-    return lambda store: store[entity].where(condition())
+_without, _where = Without, Where
 
 
 def _blank(column: str) -> Callable[[], Column]:
@@ -64,9 +93,7 @@ def unlocated_per_course(store: Store) -> DataFrame:
     return per_course.where("unlocated > 0 and located > 0").select("course_id", "unlocated")
 
 
-def _orphan_staff(store: Store) -> DataFrame:
-    links = [(store[t], "staff_id") for t in ("module_staff", "course_staff", "event_staff", "exam_staff")]
-    return without_links(store["staff"], "id", links)
+_orphan_staff = Without("staff", links=tuple((t, "staff_id") for t in ("module_staff", "course_staff", "event_staff", "exam_staff")))
 
 
 def _numbers_with_several_names(store: Store) -> DataFrame:
@@ -177,15 +204,54 @@ def rows_of(store: Store, key: str, checks: tuple[Check, ...] = CHECKS + INTEGRI
     raise ValueError(f"unknown check {key!r}")
 
 
+def _entity_counts(store: Store, entity: str, checks: Sequence[Check]) -> DataFrame:
+    """(check, n) of the checks that ask for rows of one entity without links, or with a condition on their own columns.
+
+    One pass: each row says which conditions hold on it, each link side sets one bit under the key it names, and a row's
+    links are the ``bit_or`` of its key. So every table is read once, whatever the number of checks, and a key with many links
+    is combined before it is sent.
+    """
+    sides: list[tuple[str, str]] = []
+    for c in checks:
+        if isinstance(c.rows, Without):
+            sides += [s for s in c.rows.sides(store) if s not in sides]
+    flags = {c.key: F.coalesce(c.rows.condition(), F.lit(False)).cast("long") for c in checks if isinstance(c.rows, Where)}
+    own = {k: f"_c{i}" for i, k in enumerate(flags)}
+    nothing = F.lit(0).cast("long")
+    rows = store[entity].select(
+        F.col("id").alias("_key"), nothing.alias("_links"), F.lit(1).cast("long").alias("_rows"), *(flags[k].alias(c) for k, c in own.items())
+    )
+    if not sides:
+        counts = rows.agg(*(F.coalesce(F.sum(c), nothing).alias(k) for k, c in own.items()))
+    else:
+        for i, (table, column) in enumerate(sides):
+            bit = F.lit(1 << i).cast("long")
+            named = store[table].where(F.col(column).isNotNull())
+            rows = rows.unionByName(named.select(F.col(column).alias("_key"), bit.alias("_links"), nothing.alias("_rows"), *(nothing.alias(c) for c in own.values())))
+        by_key = rows.groupBy("_key").agg(F.bit_or("_links").alias("_links"), F.sum("_rows").alias("_rows"), *(F.sum(c).alias(c) for c in own.values()))
+        wanted = {c.key: sum(1 << sides.index(s) for s in c.rows.sides(store)) for c in checks if isinstance(c.rows, Without)}
+        lacking = [F.sum(F.when(F.col("_links").bitwiseAND(F.lit(mask)) == 0, F.col("_rows")).otherwise(0)).alias(k) for k, mask in wanted.items()]
+        counts = by_key.agg(*lacking, *(F.sum(c).alias(k) for k, c in own.items()))
+    each = F.array(*(F.struct(F.lit(c.key).alias("check"), F.coalesce(F.col(c.key), nothing).alias("n")) for c in checks))
+    return counts.select(F.explode(each).alias("e")).select("e.check", "e.n")
+
+
 def summary(store: Store, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
-    """(check, severity, n, hint), all checks counted in one job."""
-    parts = [
-        c.rows(store).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(c.key).alias("check"), F.lit(c.severity).alias("severity"), "n", F.lit(c.hint).alias("hint")
-        )
-        for c in checks
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(check, severity, n, hint), all checks counted in one job with one pass over each entity and its link sides."""
+    grouped: dict[str, list[Check]] = {}
+    parts = []
+    for c in checks:
+        if isinstance(c.rows, Where) or (isinstance(c.rows, Without) and c.rows.sides(store) is not None):
+            grouped.setdefault(c.rows.entity, []).append(c)
+        else:
+            parts.append(c.rows(store).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c.key).alias("check"), "n"))
+    parts += [_entity_counts(store, entity, own) for entity, own in grouped.items()]
+
+    def told(of: Callable[[Check], str]) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for c in checks for x in (c.key, of(c)))), F.col("check"))
+
+    counts = reduce(DataFrame.unionByName, parts)
+    return counts.select("check", told(lambda c: c.severity).alias("severity"), "n", told(lambda c: c.hint).alias("hint"))
 
 
 def failures(report: DataFrame) -> DataFrame:

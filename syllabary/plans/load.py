@@ -18,6 +18,7 @@ from syllabary.catalog import LINKS
 from syllabary.functions import dates, paths, text
 from syllabary.operators.aggregates import first_by, first_number, first_text
 from syllabary.operators.relations import missing_from
+from syllabary.session import checkpointed
 from syllabary.store import Store
 
 ROOM_DDL = """struct<name: string, external_id: string, description: string, type: string, seats: int,
@@ -169,9 +170,16 @@ def resolve(staged: dict[str, DataFrame]) -> Store:
     return Store({**tables, **resolve_links(modules, courses, events, exams, people)})
 
 
+def staged_once(records: DataFrame) -> dict[str, DataFrame]:
+    """The levels of ``stage`` as written tables: records are read, parsed and put in order once, then each level is taken
+    apart once, and every merge reads the columns that it needs from its own level."""
+    levels = stage(checkpointed(in_arrival_order(records)))
+    return {name: checkpointed(df) for name, df in levels.items()}
+
+
 def load(records: DataFrame) -> tuple[Store, DataFrame]:
     """All tables of the nested records, and the rejected rows."""
-    staged = stage(records)
+    staged = staged_once(records)
     return resolve(staged), staged["rejects"]
 
 

@@ -6,6 +6,8 @@ shipment its session, exam and achievement. Orders share customers and parts, so
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from syllabary.operators.schedule import are_weekly
 from syllabary.plans import load as L
 from syllabary.registry.base import add, on_star, on_table
 from syllabary.registry.star import dealt, table, with_views
+from syllabary.session import checkpointed
 from syllabary.store import Store
 
 SEMESTER = "concat(CASE WHEN month({0}) BETWEEN 4 AND 9 THEN 'SoSe ' ELSE 'WiSe ' END, year({0}))"
@@ -110,8 +113,11 @@ MODE = """(SELECT {k}, arg_min({v}, rank) AS {v} FROM (SELECT {k}, {v}, row_numb
     ORDER BY count(*) DESC, min(seq)) AS rank FROM {src} GROUP BY {k}, {v}) GROUP BY {k})"""
 
 _load(
-    "er_lookup_dim", lambda s: s["staff"].select("name"),
-    "SELECT person AS name FROM f UNION SELECT concat('Prof. ', person) FROM f",
+    "er_lookup_dim",
+    lambda s: s["staff"].select(F.lit("staff").alias("kind"), "name").unionByName(s["event_type"].select(F.lit("event_type").alias("kind"), "name")).unionByName(
+        s["status"].select(F.lit("status").alias("kind"), "name")),
+    """SELECT 'staff' AS kind, person AS name FROM f UNION SELECT 'staff', concat('Prof. ', person) FROM f
+       UNION SELECT 'event_type', c_type FROM f UNION SELECT 'status', '' FROM f""",
 )
 _load("er_faculty", lambda s: s["faculty"].select("name", "prefix"), "SELECT DISTINCT m_faculty AS name, CAST(substring(m_faculty, 1, 2) AS INT) AS prefix FROM f")
 _load(
@@ -182,40 +188,61 @@ _load(
     """SELECT DISTINCT m_number AS module_number, m_name AS module_name, person AS staff_name FROM f
        UNION SELECT DISTINCT m_number, m_name, concat('Prof. ', person) FROM f""",
 )
-LINK_COUNTS = {
-    "module_course": "m_number, m_name, c_name, c_number, c_type",
-    "course_staff": "c_name, c_number, c_type, person",
-    "course_event": f"c_name, c_number, c_type, {EVENT_KEY}",
-    "event_staff": f"person, {EVENT_KEY}",
-    "exam_staff": "person, m_number, m_name, x_name, e_date, x_required",
-    "module_semester": "m_number, m_name, m_semester",
-    "module_start_semester": "m_number, m_name, m_start",
-    "course_semester": "c_name, c_number, c_type, m_semester",
-}
-_load(
-    "er_links", lambda s: A.table_counts({n: s[n] for n in LINK_COUNTS}),
-    " UNION ALL ".join(
-        f"SELECT '{n}' AS \"table\", count(*) AS n FROM (SELECT DISTINCT {k} FROM (SELECT * REPLACE (CASE WHEN e_room IS NULL THEN NULL ELSE e_house END AS e_house) FROM f))"
-        for n, k in LINK_COUNTS.items()
-    ),
-)
-_load(
-    "er_semester_links",
-    lambda s: _named(s, _named(s, s["module_semester"], "module_id", "module", "number", "name"), "semester_id", "semester", "name"),
-    "SELECT DISTINCT m_number AS module_number, m_name AS module_name, m_semester AS semester_name FROM f",
-)
+
+
+def _key(*parts: str) -> str:
+    """The digest of a natural key in SQL."""
+    return "md5(concat_ws(chr(31), " + ", ".join(f"coalesce('=' || CAST({p} AS VARCHAR), '-')" for p in parts) + "))"
+
+
+M_KEY, C_KEY, P_KEY = _key("m_number", "m_name"), _key("c_name", "c_number", "c_type"), _key("person")
+ROOM_KEY = f"CASE WHEN e_room IS NOT NULL THEN {_key('e_room', repr(''), _key('e_house', repr(''), repr('')))} END"
+E_KEY = _key("e_date", "e_start", "e_end", f"({ROOM_KEY})", f"(CASE WHEN e_room IS NULL THEN {C_KEY} END)")
+X_KEY = _key(M_KEY, "x_name", "x_required", "e_date")
+LINK_ENDS = {
+    "module_staff": (M_KEY, P_KEY), "module_course": (M_KEY, C_KEY), "course_staff": (C_KEY, P_KEY), "course_event": (C_KEY, E_KEY),
+    "event_staff": (E_KEY, P_KEY), "exam_staff": (X_KEY, P_KEY), "module_semester": (M_KEY, _key("m_semester")),
+    "module_start_semester": (M_KEY, _key("m_start")), "course_semester": (C_KEY, _key("m_semester")),
+    "event_semester": (E_KEY, _key("m_semester")), "exam_semester": (X_KEY, _key("m_semester")),
+}
+SEMESTER_LINKS = ("module_semester", "course_semester", "event_semester", "exam_semester")
+
+
+def _links(*names: str):
+    def run(s: Store) -> DataFrame:
+        parts = [s[n].select(F.lit(n).alias("link"), F.col(s[n].columns[0]).alias("near"), F.col(s[n].columns[1]).alias("far")) for n in names]
+        return reduce(DataFrame.unionByName, parts)
+
+    return run
+
+
+def _links_sql(*names: str) -> str:
+    parts = [f"SELECT DISTINCT '{n}' AS link, {LINK_ENDS[n][0]} AS near, {LINK_ENDS[n][1]} AS far FROM f" for n in names]
+    if "module_staff" in names:
+        parts.append(f"SELECT DISTINCT 'module_staff', {M_KEY}, {_key("concat('Prof. ', person)")} FROM f")
+    return " UNION ALL ".join(parts)
+
+
+_load("er_links", _links(*LINK_ENDS), _links_sql(*LINK_ENDS))
+_load("er_semester_links", _links(*SEMESTER_LINKS), _links_sql(*SEMESTER_LINKS))
 _load(
-    "er_derived", lambda s: A.counter(s["course"], "weekday"),
-    """SELECT CAST(weekday AS INT) AS weekday, count(*) AS n FROM (SELECT arg_min(w, rank) AS weekday FROM (
-           SELECT c_name, c_number, c_type, isodow(e_date) AS w, row_number() OVER (PARTITION BY c_name, c_number, c_type
-                  ORDER BY count(*) DESC, min(seq)) AS rank FROM f GROUP BY c_name, c_number, c_type, isodow(e_date))
-       GROUP BY c_name, c_number, c_type) GROUP BY weekday""",
+    "er_derived",
+    lambda s: s["course"].select("id", F.lit("weekday").alias("what"), F.col("weekday").cast("string").alias("value")).unionByName(
+        s["module"].select("id", F.lit("language").alias("what"), F.col("language").alias("value"))),
+    f"""SELECT id, 'weekday' AS what, CAST(arg_min(w, rank) AS VARCHAR) AS value FROM (
+           SELECT {C_KEY} AS id, CAST(isodow(e_date) AS INT) AS w, row_number() OVER (PARTITION BY {C_KEY} ORDER BY count(*) DESC, min(seq)) AS rank
+           FROM f GROUP BY {C_KEY}, isodow(e_date)) GROUP BY id
+       UNION ALL
+       SELECT m.id, 'language', coalesce(v, '') FROM (SELECT DISTINCT {M_KEY} AS id FROM f) m LEFT JOIN (
+           SELECT id, arg_min(c_language, rank) AS v FROM (
+               SELECT {M_KEY} AS id, c_language, row_number() OVER (PARTITION BY {M_KEY} ORDER BY count(*) DESC, min(seq)) AS rank
+               FROM f WHERE c_language <> '' GROUP BY {M_KEY}, c_language) GROUP BY id) l ON l.id = m.id""",
 )
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second load of everything adds to a first load of the first half of the years."""
-    rows = records(spark, sf_dir)
+    rows = checkpointed(records(spark, sf_dir))  # both loads read them, and they are parsed once
     first = rows.where(F.col("courses")[0]["events"][0]["event_date"] < F.lit("1998-01-01").cast("date"))
     return L.insert_counts(L.load(rows)[0], L.load(first)[0])
 

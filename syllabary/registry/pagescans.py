@@ -17,6 +17,12 @@ def given(spark: SparkSession, sf_dir: str, *uses) -> DataFrame:
     return P.elements(table(spark, sf_dir, "pages"), *uses)
 
 
+def _german_sql(column: str) -> str:
+    """The day of a column as the pages write it."""
+    names = ", ".join(f"'{m}'" for m in P.dates.MONTHS)
+    return f"concat(day({column}), '. ', [{names}][month({column})], '. ', year({column}))"
+
+
 def _decoded(sql: str) -> str:
     """SQL for the character references that the given pages hold."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
@@ -209,8 +215,9 @@ add(
     "SELECT event_id AS page_id, 'time' AS kind, CASE WHEN event_type = 'view' THEN '25:10' ELSE '24:00' END AS value, CAST(1 AS BIGINT) AS n FROM events",
 )
 add(
-    "rec_anomalies", _modules(lambda e: R.anomalies(e)["exam_dates"].select("n")),
-    """SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY CAST(o_orderdate AS DATE) ORDER BY n DESC LIMIT 20""",
+    "rec_anomalies", _modules(lambda e: R.anomalies(e)["exam_dates"].select("n", "value")),
+    rf"""SELECT n, value FROM (SELECT count(*) AS n, concat('am ', {_german_sql("o_orderdate")}) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY value)
+         ORDER BY n DESC, value LIMIT 20""",
 )
 add(
     "rec_fields", _modules(lambda e: R.label_frequencies(P.module_labels(e), P.MODULE_LABELS).select("label", "n", "mapped")),
@@ -223,6 +230,6 @@ add(
            {'h': NULL, 'c': 'rw-detail-compulsory'}, {'h': NULL, 'c': 'rw-detail-weight'}]) AS s FROM orders), LATERAL (SELECT s.h AS heading, s.c AS class) GROUP BY 1, 2""",
 )
 add(
-    "rec_course_exams", _courses(lambda e: R.course_exam_dates(e).select("n", "pages")),
-    "SELECT count(*) AS n, count(*) AS pages FROM events GROUP BY CAST(ts AS DATE)",
+    "rec_course_exams", _courses(lambda e: R.course_exam_dates(e).select("date_text", "n", "pages")),
+    f"SELECT {_german_sql('ts')} AS date_text, count(*) AS n, count(*) AS pages FROM events GROUP BY date_text",
 )
