@@ -171,10 +171,9 @@ def resolve(staged: dict[str, DataFrame]) -> Store:
 
 
 def staged_once(records: DataFrame) -> dict[str, DataFrame]:
-    """The levels of ``stage`` as written tables: records are read, parsed and put in order once, then each level is taken
-    apart once, and every merge reads the columns that it needs from its own level."""
-    levels = stage(checkpointed(in_arrival_order(records)))
-    return {name: checkpointed(df) for name, df in levels.items()}
+    """The levels of ``stage`` over a written table of the records: they are read, parsed and put in order once, and every merge
+    reads the nested columns that it needs from there."""
+    return stage(checkpointed(in_arrival_order(records)))
 
 
 def load(records: DataFrame) -> tuple[Store, DataFrame]:
