@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free, stored
 
 #: A block of a candidate cluster holds about so many members, and so many shingles.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1_000_000
@@ -179,10 +179,11 @@ def bitmap(keys: DataFrame, key: str) -> DataFrame:
 
 def marked(rows: DataFrame, bits: DataFrame, key: str, flag: str) -> DataFrame:
     """``rows`` with ``flag``: whether ``key`` may be one of the bitmap's; false is certain. Only the bitmap is sent."""
-    placed = rows.withColumn("_bit", _bit(key)).withColumn("_at", F.floor(F.col("_bit") / WORD))
-    met = placed.join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
-    here = F.call_function("shiftright", F.col("_mask"), (F.col("_bit") % WORD).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return met.select(*rows.columns, F.coalesce(here, F.lit(False)).alias(flag))
+    bit, at, word, mask = free(rows, "_bit", "_at", "_word", "_mask")
+    placed = rows.withColumn(bit, _bit(key)).withColumn(at, F.floor(F.col(bit) / WORD))
+    met = placed.join(F.broadcast(bits.toDF(word, mask)), F.col(at) == F.col(word), "left")
+    here = F.call_function("shiftright", F.col(mask), (F.col(bit) % WORD).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(here, F.lit(False)).alias(flag))
 
 
 def prefiltered(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free, stored
-from .linking import components, slices, star_edges, verified
+from .linking import bitmap, components, marked, slices, star_edges, verified
 from .shingles import band_hashes, choose_bands, signatures, word_shingles
 
 #: Characters of text that are turned into shingles at once.
@@ -68,7 +68,7 @@ def _classified(docs: DataFrame, words: int, threshold: float, recall: float, ha
     single = F.col("first").isNull()
     return slim.select("doc_id", "key"), joined.select(
         "key", F.when(single, F.col("least")).otherwise(F.col("first.least")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies", (single | (F.col("first.key") == F.col("key"))).alias("stays"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies", "least", (single | (F.col("first.key") == F.col("key"))).alias("stays"),
     )
 
 
@@ -92,11 +92,19 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall:
 
 def one_per_class(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.99, hashes: int = 128) -> DataFrame:
     """One row of ``docs`` for each class of ``ngram_join``, the one with the least doc_id (those without come last); all
-    columns as they are. Rows with equal texts are combined before they are sent."""
-    _, texts = _classified(docs, words, threshold, recall, hashes)
-    key, row, other = free(docs, "_key", "_row", "_other")
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    once = docs.groupBy(F.unhex(F.sha2(text, 256)).alias(key)).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias(row))
-    kept = once.join(texts.where("stays").select(F.col("key").alias(other)).hint("merge"), F.col(key) == F.col(other))
-    return kept.select(*(F.col(row)[c].alias(c) for c in docs.columns))
+    columns as they are. Rows that surely stay are never sent: a bitmap tells them from those that may go or be repeated."""
+    rows, texts = _classified(docs, words, threshold, recall, hashes)
+    pair, maybe, other = free(docs, "_pair", "_maybe", "_other")
+
+    def named(key: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(key))
+
+    counted = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).join(texts.select("key", "stays", "least"), "key")
+    stays = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("least"))
+    odd = counted.where(~stays | (F.col("n") > 1)).select(named(F.col("key")).alias(pair), (~stays).alias("gone"))
+    odd = stored(odd, "copies")
+    own = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    told = marked(docs.withColumn(pair, named(own)), bitmap(odd, pair), pair, maybe)
+    gone = odd.where("gone").select(F.col(pair).alias(other))
+    left = told.where(F.col(maybe)).join(gone, F.col(pair) == F.col(other), "left_anti").dropDuplicates([pair])
+    return told.where(~F.col(maybe)).unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
