@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from .common import running, stored
 from .linking import slices
 
-#: Encoded words that a Python worker remembers; at more it starts anew.
-REMEMBERED = 1_000_000
-SLICE = 2_000_000
+#: Encoded words in each of the two generations that a Python worker remembers (about 300 bytes a word).
+REMEMBERED = 200_000
+#: Characters of text that are Python strings at once.
+SLICE = 1_000_000
 #: Words that are encoded in one call.
 TOGETHER = 2_000
 
@@ -59,6 +60,8 @@ class Encoder:
     between two such words, so many words are encoded in one call, and the line feed's id tells them apart.
     In the keys, a word without a mark follows a blank, one marked by a line feed follows a line feed, and one marked by
     two is the first of its text.
+    Words are kept in two generations: a full one becomes the older, and words of the older that come again move on, so
+    frequent words stay whatever the number of rare ones.
     """
 
     LINES = re.compile(r"(?<=\S)\n(?=\S)")
@@ -73,6 +76,7 @@ class Encoder:
         self.merger, self.added = _merger(json.loads(self.tokenizer.to_str()))
         self.line_feed = self.ids("\n")
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.odd: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -90,6 +94,9 @@ class Encoder:
         """Encodes words; a part that holds white space isn't one, and stays without ids."""
         words = []
         for part in parts:
+            if part in self.older:
+                self.known[part] = self.older[part]
+                continue
             mark, word = self.read(part)
             if self.PLAIN.fullmatch(part, mark):
                 words.append((part, word, self.line_feed if mark == 1 else b""))
@@ -123,7 +130,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [("\n\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         if len(self.odd) > REMEMBERED // 10:
             self.odd.clear()
         self.learn(set().union(*split).difference(self.known))
@@ -148,11 +155,11 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = batch.column(0)
-            for at, to in slices(np.array([len(t) for t in texts], np.int64), SLICE):
+            for at, to in slices(np.array([len(t.as_py() or "") for t in batch.column(1)], np.int64), SLICE):
                 rows: list[tuple[int, int, int, int, int]] = []
-                for k, tokens in enumerate(encoder.encode(texts[at:to]), at):
+                texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
+                for k, tokens in enumerate(encoder.encode(texts), at):
                     data = memoryview(tokens + end)
                     n = len(data) // 4
                     first = (n - 1) % capacity + 1
