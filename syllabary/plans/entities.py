@@ -16,6 +16,7 @@ from syllabary.functions import dates, paths
 from syllabary.functions.text import any_of
 from syllabary.operators import filters as P
 from syllabary.operators import ordering, projection
+from syllabary.operators.rank_index import RankIndex, rank_index
 from syllabary.operators.relations import fan_out, inner_to_one, where_related
 from syllabary.operators.schedule import weekday_or_zero, weekly_slots
 from syllabary.store import Store
@@ -284,6 +285,35 @@ def present(
     return shaped.orderBy(*by).drop(*[f"_sort_{c}" for c in hidden])
 
 
+def page_index(
+    store: Store, entity: str, parameters: Mapping[str, object] | None = None, sort: str | None = None, order: str = "asc"
+) -> RankIndex:
+    """The rows that `list_rows` would page, sorted once: deep pages then read one or two ranges of them."""
+    return rank_index(where(store, entity, parameters), sort, order)
+
+
+def indexed_page(
+    store: Store, entity: str, index: RankIndex, page: int, page_size: int, fields: Sequence[str] | None = None,
+    include: Sequence[str] | None = None,
+) -> DataFrame:
+    """The page that `list_rows` gives for the same sort, from its index."""
+    return _shaped(store, entity, index, index.page(page, page_size), page_size, fields, include)
+
+
+def indexed_after(
+    store: Store, entity: str, index: RankIndex, token: Sequence[object], n: int, fields: Sequence[str] | None = None,
+    include: Sequence[str] | None = None,
+) -> DataFrame:
+    """The ``n`` entities after the one whose sort value and id are ``token``."""
+    return _shaped(store, entity, index, index.after(token, n), n, fields, include)
+
+
+def _shaped(
+    store: Store, entity: str, index: RankIndex, rows: DataFrame, n: int, fields: Sequence[str] | None, include: Sequence[str] | None
+) -> DataFrame:
+    return present(store, rows, entity, index.keys[0], "desc" if index.descending else "asc", 1, n, fields, include)
+
+
 def count_rows(
     store: Store, entity: str, parameters: Mapping[str, object] | None = None, page: int | None = None,
     page_size: int | None = None,

@@ -394,6 +394,14 @@ on_star(
     "page", lambda s: E.list_rows(s, "event", sort="location_id", page=5, page_size=50),
     events_sql("TRUE") + " ORDER BY e.location_id NULLS FIRST, e.id LIMIT 50 OFFSET 200",
 )
+on_star(
+    "page_indexed", lambda s: E.indexed_page(s, "event", E.page_index(s, "event", sort="location_id", order="desc"), 9, 50),
+    events_sql("TRUE") + " ORDER BY e.location_id DESC NULLS LAST, e.id LIMIT 50 OFFSET 400",
+)
+on_star(
+    "page_after", lambda s: E.indexed_after(s, "event", E.page_index(s, "event", sort="location_id"), ("L20", 100), 50),
+    events_sql("e.location_id > 'L20' OR e.location_id = 'L20' AND e.id > 100") + " ORDER BY e.location_id NULLS FIRST, e.id LIMIT 50",
+)
 on_star(
     "agg_page_count", lambda s: E.count_rows(s, "event", {"weekday": [1]}, page=2, page_size=50),
     with_views("event") + """SELECT count(*) AS count, 2 AS page, CAST(50 AS BIGINT) AS "limit", CAST(ceil(count(*) / 50.0) AS INT) AS total_pages

@@ -52,7 +52,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "syl
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder the cluster names and read again: its work is done once, and executors may be lost.
+    """``df`` written to the folder the cluster names and read again: its work is done once, and executors may be lost."""
+    return written(df)
+
+
+def written(df: DataFrame, *folders: str) -> DataFrame:
+    """As `checkpointed`, with a folder for each value of the columns ``folders``, which filters on them then leave out.
 
     The folder comes from ``spark.checkpoint.dir``. Only where that is unset and the session is one process
     (tests) a fresh temporary folder is used.
@@ -67,5 +72,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="syllabary-checkpoint-")
         sc.setCheckpointDir(folder)
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
