@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors that the partitions are fitted on, and further ones that the number of probes is chosen on: those whose
-#: vec_id has the least hash.
-SAMPLE, HELD_OUT = 8_192, 1_024
+#: Vectors that the partitions are fitted on, the most of them on large tables, and further ones that the number of probes
+#: is chosen on: those whose vec_id has the least hash.
+SAMPLE, MOST_SAMPLE, HELD_OUT = 8_192, 20_480, 1_024
 NEIGHBOURS = 10
-#: Vectors that a part is meant to hold, and the least and most number of parts.
-PART_SIZE, FEWEST, MOST = 1_024, 8, 64
+#: Vectors that a part is meant to hold, the least number of parts, and the sample vectors that a part needs.
+PART_SIZE, FEWEST, PER_PART = 1_024, 8, 4 * NEIGHBOURS
 #: Share of true neighbours that the probed parts have to hold on the held-out vectors.
 RECALL = 0.98
 #: Candidates and queries that meet in one task at a time.
@@ -28,11 +28,12 @@ def nearest(queries: np.ndarray, rows: np.ndarray, k: int, skip_self: bool = Fal
     """Numbers of the k nearest rows of each query, in any order."""
     out = np.empty((len(queries), k), np.int64)
     norms = (rows**2).sum(axis=1)
-    for a in range(0, len(queries), 1024):
-        part = norms[None, :] - 2 * queries[a : a + 1024] @ rows.T
+    step = max(1, (1 << 23) // max(len(rows), 1))
+    for a in range(0, len(queries), step):
+        part = norms[None, :] - 2 * queries[a : a + step] @ rows.T
         if skip_self:
             part[np.arange(len(part)), np.arange(a, a + len(part))] = np.inf
-        out[a : a + 1024] = np.argpartition(part, k - 1, axis=1)[:, :k]
+        out[a : a + step] = np.argpartition(part, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -123,9 +124,12 @@ def train(x: np.ndarray, aims: np.ndarray, hidden: int = 128, epochs: int = 40,
 
 
 def fit(sample: np.ndarray, held_out: np.ndarray, rows: int, recall: float = RECALL) -> Router:
-    """Graph, parts and router on a sample; the probes are the fewest that hold ``recall`` of the neighbours of held-out vectors."""
-    parts = 1 << int(np.clip(np.log2(max(rows, 1) / PART_SIZE), np.log2(FEWEST), np.log2(MOST)))
-    while parts > 1 and len(sample) < 4 * NEIGHBOURS * parts:
+    """Graph, parts and router on a sample; the probes are the fewest that hold ``recall`` of the neighbours of held-out vectors.
+
+    The parts grow with the table, as far as the sample has ``PER_PART`` vectors for each.
+    """
+    parts = 1 << int(max(np.log2(max(rows, 1) / PART_SIZE), np.log2(FEWEST)))
+    while parts > 1 and len(sample) < PER_PART * parts:
         parts //= 2
     k = min(NEIGHBOURS, len(sample) - 1)
     if parts == 1 or k < 1:
@@ -179,6 +183,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMP
         return spark.createDataFrame([], result)
     d, n = sizes
     rows = rows.where(F.size("v") == d)
+    sample = max(sample, min(MOST_SAMPLE, PER_PART * (n // PART_SIZE)))
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample + held_out).select("v").collect()
     known = np.array([r["v"] for r in picked])
     share = max(1, len(known) * sample // (sample + held_out))

@@ -282,6 +282,22 @@ def test_search_is_exact_where_all_is_probed_and_near_it_elsewhere(spark):
     assert ann.search(vectors(spark, [])).count() == 0 and ann.search(vectors(spark, [(0, [1.0], 0)])).count() == 0
 
 
+@pytest.mark.parametrize("sample,parts", [(8192, 128), (20480, 512)])
+def test_parts_grow_with_the_table_and_few_are_probed(sample, parts):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((300, 16)) * 2
+    x = centres[rng.integers(0, 300, 40_000)] + rng.standard_normal((40_000, 16)) * 0.4
+    router = ann.fit(x[:sample], x[sample : sample + 1024], parts * ann.PART_SIZE)
+    assert len(router.layers[3]) == parts
+    put = router.scores(x).argmax(axis=1)
+    queries = np.arange(30_000, 30_300)
+    probed = np.argsort(-router.scores(x[queries]), axis=1, kind="stable")[:, : router.probes]
+    assert np.bincount(put, minlength=parts)[probed].sum(axis=1).mean() < len(x) / 2
+    near = ann.nearest(x[queries], x, 11)
+    seen = (put[near][:, :, None] == probed[:, None, :]).any(axis=2) & (near != queries[:, None])
+    assert seen.sum() / (10 * len(queries)) >= 0.9
+
+
 def test_balanced_parts_cut_few_edges():
     rng = np.random.default_rng(2)
     x = np.repeat(rng.standard_normal((4, 8)) * 9, 100, axis=0) + rng.standard_normal((400, 8))
