@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from syllabary.functions import dates
 from syllabary.operators import aggregates as A
 from syllabary.operators import relations
+from syllabary.operators.concat import joined_in_parts
 from syllabary.operators.schedule import are_weekly
 from syllabary.plans import load as L
 from syllabary.registry.base import add, on_star, on_table
@@ -293,6 +294,13 @@ on_table(
     "agg_group_concat", "part", lambda d: d.groupBy("p_name").agg(A.joined_values("p_type").alias("kinds")),
     "SELECT p_name, string_agg(p_type, ' | ' ORDER BY p_type) AS kinds FROM (SELECT DISTINCT p_name, p_type FROM part) GROUP BY p_name",
 )
+on_table(
+    "agg_group_concat_parts", "lineitem",
+    lambda d: joined_in_parts(d.withColumn("day", F.col("l_shipdate").cast("date").cast("string")), ["l_returnflag"], "day", limit=4000, name="days"),
+    """SELECT l_returnflag, CAST(floor(ahead / 4000) AS BIGINT) + 1 AS part, string_agg(day, ' | ' ORDER BY day) AS days FROM (
+           SELECT l_returnflag, day, coalesce(sum(length(day) + 3) OVER (PARTITION BY l_returnflag ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+           FROM (SELECT DISTINCT l_returnflag, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day FROM lineitem)) GROUP BY 1, 2""",
+)
 on_table(
     "agg_group_sample", "events", lambda d: A.counter(d.where("event_type = 'error'"), "user_id"),
     "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id",

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syllabary.plans import degrees as D
-from syllabary.registry.base import add
+from syllabary.plans import path_dictionary
+from syllabary.registry.base import ORACLE, add
 from syllabary.registry.star import table
+from syllabary.session import fresh_folder
 from syllabary.sources.writers import degree_counts
 from syllabary.store import Store
 
@@ -140,12 +142,24 @@ LINKED = HARMONISED + """, k AS (SELECT h.*, first_value(seg) OVER (PARTITION BY
         WHEN best = 'Wahlfach' THEN concat(canon, ' (Wahlfach, 60 LP)') ELSE canon END AS final FROM k) """
 
 
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    degree, links = D.derive_degrees(_store(spark, sf_dir))
+def _links(spark: SparkSession, sf_dir: str, dictionary: DataFrame | None = None) -> DataFrame:
+    degree, links = D.derive_degrees(_store(spark, sf_dir), dictionary)
     return links.join(degree.select(F.col("id").alias("degree_id"), "name", "faculty_id"), "degree_id").select("module_id", "name", "faculty_id")
 
 
 add("deg_link", _links, PARTS + LINKED + "SELECT module_id, final AS name, CAST(fac AS INT) AS faculty_id FROM named")
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of read paths after a load of the years before 1995 and one of all years."""
+    paths, folder = module_paths(spark, sf_dir), fresh_folder(spark)
+    path_dictionary.refreshed(paths.where("path[1] < 'WiSe 1995'"), folder)
+    return path_dictionary.refreshed(paths, folder)
+
+
+add("deg_link_known", lambda spark, d: _links(spark, d, _dictionary(spark, d)), ORACLE["deg_link"])
+add("deg_dictionary", lambda spark, d: _dictionary(spark, d).select("programme.kind", "programme.name", "programme.faculty").groupBy("kind", "name", "faculty").agg(F.count(F.lit(1)).alias("n_paths")),
+    PARTS + "SELECT kind, name, faculty, count(DISTINCT (y, pri, CASE WHEN pri = '5-LOW' THEN st END)) AS n_paths FROM b GROUP BY 1, 2, 3")
 add("deg_faculty", lambda spark, d: D.derive_degrees(_store(spark, d))[0].groupBy("faculty_id").agg(F.count(F.lit(1)).alias("n")),
     PARTS + LINKED + "SELECT CAST(fac AS INT) AS faculty_id, count(DISTINCT final) AS n FROM named GROUP BY 1")
 

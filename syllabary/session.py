@@ -57,12 +57,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, *folders: str) -> DataFrame:
-    """As `checkpointed`, with a folder for each value of the columns ``folders``, which filters on them then leave out.
+    """As `checkpointed`, with a folder for each value of the columns ``folders``, which filters on them then leave out."""
+    path = fresh_folder(df.sparkSession)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset and the session is one process
-    (tests) a fresh temporary folder is used.
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``.
+
+    Only where that is unset and the session is one process (tests) a temporary folder is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -71,6 +76,4 @@ def written(df: DataFrame, *folders: str) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="syllabary-checkpoint-")
         sc.setCheckpointDir(folder)
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
