@@ -73,3 +73,34 @@ def test_only_what_is_asked_for_is_sent(spark):
     assert [tuple(r) for r in asked.collect()] == [("1", 0, "h1", "A1")]
     assert [tuple(r)[:2] for r in P.headers(P.elements(pages, P.headers, P.links)).collect()] == [("1", "A1")]
     assert {r["tag"] for r in P.elements(pages).collect()} == {"h1", "b", "a", "div"}
+
+
+def test_plain_tags_are_cut_at_once_and_say_what_the_parser_says():
+    pieces = (
+        '<div class="tbdata">', '<table summary="S">', "<tr>", '<td class="a b" name="n">', "</td>", "</tr>", "</table>", "</div>", "<br/>", "<b>", "</b>",
+        '<a href="/x?P=1&n=2">', "</a>", '<span class="font-semibold break-all">', "</span>", "<dl>", "<dd>", "<dt>", "</dl>", " x ", "a\nb", "&amp; &lt", "\n",
+    )
+    odd = ("<script>1<2</script>", "<!-- c -->", "<a href='q'>", '<b id="&amp;">', "<", "<BR>", "<title>t</title>")
+    rng = random.Random(2)
+    cut = 0
+    for k in range(400):
+        html = "".join(rng.choice(pieces + odd * (k % 2)) for _ in range(rng.randrange(30)))
+        fed, read = P._Elements(), P._Elements()
+        fed.feed(html)
+        columns = [c for c in P._TYPES if c != "page_id"]
+        want = [[P._value(c, e, fed.buffers) for c in columns] for e in fed.finish()]
+        assert [[P._value(c, e, read.buffers) for c in columns] for e in read.read(html)] == want, html
+        cut += P._events(html) is not None
+    assert cut >= 200
+
+
+def test_a_requirement_is_searched_once_for_its_colon(spark):
+    from pyspark.sql import functions as F
+
+    from syllabary.functions import text
+
+    rows = spark.createDataFrame([("A: 1\nB (x: y): z\nfree\nA: 2\nallgemein: q",), ("",), (None,), ("A: 1",)], "t string")
+    told = rows.select(text.parse_requirements(F.col("t")).alias("m"))
+    assert [r["m"] for r in told.collect()] == [{"A": "1 2", "B (x: y)": "z", "allgemein": "free"}, {}, {}, {"A": "1"}]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
