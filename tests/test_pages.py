@@ -104,3 +104,20 @@ def test_a_requirement_is_searched_once_for_its_colon(spark):
     assert [r["m"] for r in told.collect()] == [{"A": "1 2", "B (x: y)": "z", "allgemein": "free"}, {}, {}, {"A": "1"}]
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_scans_read_what_they_need(spark):
+    """A scan gives the same over the elements that it needs as over all of them, and room cells read the pages once."""
+    from syllabary.plans import reconcile as R
+
+    cell = '<td class="rw-course-room">{}</td>'
+    link = '<a name="appointmentRooms" href="r">x</a>'
+    html = f"<table><tr>{cell.format(link)}{cell.format(' free ')}{cell.format('')}<td>{link}</td>{cell.format(link + link)}</tr></table>"
+    rows = [("1", html), ("1", html), (None, html), ("2", None), ("3", "<h1>1</h1><td class='rw-course-room'>y")]
+    pages = spark.createDataFrame(rows, "page_id string, html string")
+    for scan in (R.room_cells, R.table_shapes, R.impossible_times):
+        few, whole = scan(P.elements(pages, scan)), scan(P.elements(pages))
+        assert sorted(map(str, few.collect())) == sorted(map(str, whole.collect()))
+    cells = R.room_cells(P.elements(pages, R.room_cells))
+    assert cells.collect()[0].asDict() == {"anchored": 4, "free_text": 6}
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
