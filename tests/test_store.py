@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -227,3 +228,19 @@ def test_whole_export_text(spark, monkeypatch):
     got = QUERIES["export_ical"](spark, "unused")
     assert got.columns == ["position", "id", "ics"]
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_modules_of_events_are_sent_once(spark):
+    """Both aggregates over (event, module) rows find them by event, so the names are not sent a second time."""
+    tables = {
+        "course_event": spark.createDataFrame([("c1", "e"), ("c2", "e"), ("c2", "f"), (None, "f"), ("c1", "e")], "course_id string, event_id string"),
+        "course": spark.createDataFrame([("c1", "C1", "9", "V"), ("c2", "C2", "10-2", "V")], "id string, name string, number string, type string"),
+        "module_course": spark.createDataFrame([("m1", "c1"), ("m2", "c2"), ("m3", "c2"), ("m1", "c2"), ("m1", "c1")], "module_id string, course_id string"),
+        "module": spark.createDataFrame([("m1", "M1", "7"), ("m2", "M2", "2"), ("m3", "M3", "10")], "id string, name string, number string"),
+        "event": spark.createDataFrame([("e", "10-2-x", None), ("f", "", None), ("g", "1", None)], "id string, number string, location_id string"),
+    }
+    shown = calendar.with_placeholders(empty_store(spark).with_tables(**tables), tables["event"])
+    got = {r["id"]: (r["p_course_name"], r["p_module_name"], r["p_module_number"]) for r in shown.collect()}
+    assert got == {"e": ("C2 / C1", "M3 / M1 / M2", "10"), "f": ("C2", "M1 / M2 / M3", "7"), "g": ("", "", "")}
+    plan = shown._jdf.queryExecution().sparkPlan().toString() + shown._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(_event#\d+, _module#\d+", plan)
