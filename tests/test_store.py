@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from syllabary.operators import calendar, projection
 from syllabary.operators.schedule import recurring_series
 from syllabary.plans import audit, entities, load
-from syllabary.registry import calendars, lists  # noqa: F401
+from syllabary.registry import calendars, lists, star  # noqa: F401
 from syllabary.registry.base import QUERIES
 from syllabary.store import empty_store
 from syllabary.streaming import incremental
@@ -244,3 +244,14 @@ def test_modules_of_events_are_sent_once(spark):
     assert got == {"e": ("C2 / C1", "M3 / M1 / M2", "10"), "f": ("C2", "M1 / M2 / M3", "7"), "g": ("", "", "")}
     plan = shown._jdf.queryExecution().sparkPlan().toString() + shown._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\(_event#\d+, _module#\d+", plan)
+
+
+def test_link_pairs_are_sent_before_they_are_told_apart(spark):
+    rows = [(1, 2), (1, 2), (None, 2), (None, 2), (1, None), (3, 4)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long")
+    pairs = star._pairs(lines, course_id="l_partkey", event_id="l_orderkey")
+    assert pairs.columns == ["course_id", "event_id"]
+    assert sorted(map(str, pairs.collect())) == sorted(map(str, lines.select(F.col("l_partkey").alias("course_id"), F.col("l_orderkey").alias("event_id")).distinct().collect()))
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan.split("Exchange")[1]
+    assert set(star.PAIRS) == {k for k, sql in star.VIEWS.items() if sql.startswith("SELECT DISTINCT l_")}
