@@ -107,6 +107,24 @@ def test_bands_and_signatures():
     assert abs((a == b).mean() - 356 / 396) < 0.03 and (none == 0xFFFFFFFF).all()
 
 
+def test_hashes_of_items_are_held_once_each():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(58)
+    counts = np.array([0, 100, 1, 0, 150, 49])
+    held, item = linking._held(hashes, counts)
+    wanted = sorted({(h, i) for h, i in zip(hashes.tolist(), np.repeat(np.arange(6), counts).tolist(), strict=True)})
+    number = {h: k for k, h in enumerate(sorted(set(hashes.tolist())))}
+    assert list(zip(held.tolist(), item.tolist(), strict=True)) == [(number[h], i) for h, i in wanted]
+    assert [len(x) for x in linking._held(hashes[:0], counts[:0])] == [0, 0]
+
+
+def test_small_clusters_link_inside_only():
+    sets = [{1, 2, 3, 4, 5}, {1, 2, 3, 4, 5}, {1, 2, 3, 4, 5}, {1, 2, 3, 4}, {9}]
+    hashes = np.concatenate([np.repeat(np.array(sorted(x), np.uint64), 2) for x in sets])
+    a, b = linking._few_links(hashes, np.array([2 * len(x) for x in sets]), np.array([0, 7, 0, 7, 7]), 0.8)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 2), (1, 3)]
+
+
 def expected_lines(rows):
     lines = [(r[0], i, x) for r in rows for i, x in enumerate((r[1] or "").split("\n")) if x.strip()]
     _, root = classes(sorted({x for *_, x in lines}), char_grams)
