@@ -125,6 +125,13 @@ def test_small_clusters_link_inside_only():
     assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 2), (1, 3)]
 
 
+def test_what_stays_of_a_text_is_asked_once(spark):
+    docs = frame(spark, [(1, "a line that is here twice\na line that is here twice", None, None, 1)])
+    left = without_repeats(docs, fuzzy_lines(docs))
+    assert left._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["text"] for r in left.collect()] == ["a line that is here twice"]
+
+
 def expected_lines(rows):
     lines = [(r[0], i, x) for r in rows for i, x in enumerate((r[1] or "").split("\n")) if x.strip()]
     _, root = classes(sorted({x for *_, x in lines}), char_grams)
