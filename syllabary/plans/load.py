@@ -246,7 +246,8 @@ def resolve_paths(modules: DataFrame) -> DataFrame:
 
     Paths stay rows: a module met on any number of paths never becomes one long list.
     """
-    rows = modules.select("module_id", "seq", F.posexplode("path").alias("pos", "path"))
+    # The outer form keeps Spark from making the paths of each record a second time to see that it has some.
+    rows = modules.select("module_id", "seq", F.posexplode_outer("path").alias("pos", "path")).where("pos is not null")
     groups = rows.groupBy("module_id", "path").agg(F.min(F.struct("seq", "pos")).alias("place"))
     key = key_id(F.col("module_id"), F.to_json(F.struct("path")))
     # The rows of a module are its distinct paths, after all its records were combined.

@@ -30,3 +30,10 @@ def test_conditions_do_not_read_the_paths_again(spark):
         plan = store[table]._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("(SoSe|WiSe)(?s:") == 1, table
     assert store["faculty"]._jdf.queryExecution().optimizedPlan().toString().count("flatten") == 1
+
+
+def test_paths_of_a_module_are_made_once(spark):
+    paths = L.resolve(staged(spark))["module_path"]
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") == 1
+    assert {tuple(r["path"]) for r in paths.collect()} == {("Root", "SoSe 2024", "10 - A", "11 - B"), ("WiSe 2025",), ("x",)}
