@@ -1,6 +1,7 @@
 """Load, projection, calendar and streaming on small hand-made catalogues."""
 
 import datetime as dt
+import functools
 import json
 import re
 
@@ -156,6 +157,42 @@ def test_relations_have_one_shape_at_any_size(spark):
     assert paged.count() == 2
 
 
+def exchanged(df):
+    """The columns that each exchange of the plan takes in."""
+    text = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]$", text, re.M)
+
+
+def test_nested_values_are_sent_once(spark):
+    store = linked(spark, (2, 5))
+    for sort, order in ((None, "asc"), ("number", "desc")):
+        rows = entities.list_rows(store, "event", sort=sort, order=order, include=["courses.staff", "location"])
+        taken = exchanged(rows)
+        assert len([columns for columns in taken if "_value_courses#" in columns]) == 1
+        assert not [columns for columns in taken if re.search(r"\bcourses#", columns)]
+        got = rows.collect()
+        assert [r["id"] for r in got] == (["E2", "E5"] if order == "asc" else ["E5", "E2"])
+        assert [[(s["id"], s["name"]) for s in c["staff"]] for r in got for c in r["courses"]] == 7 * [[("S1", "Ann"), ("S2", "Bo")]]
+
+
+def test_lists_meet_their_rows_by_ranges_as_by_key(spark):
+    """Keys that repeat, more often than a list is long, that are missing, without links, and links of rows that are not there."""
+    store = linked(spark, (1, 5))
+    other = store["event"].where("id = 'E1'")
+    events = [store["event"], *[other.withColumn("number", F.lit(f"x{i}")) for i in range(9)], other, other.withColumn("id", F.lit("E9"))]
+    events += 2 * [other.withColumn("id", F.lit(None).cast("string"))]
+    events = functools.reduce(lambda a, b: a.union(b), events).withColumn("_sort_id", F.col("id")).withColumn("_sort_number", F.col("number"))
+    store = store.with_tables(course_event=store["course_event"].union(spark.createDataFrame([("C000000", "E7"), ("C000001", None)], "course_id string, event_id string")))
+    tree = projection.projection(store, "event", include=["courses.staff", "courses.modules", "location", "staff"])
+    keep = ["_sort_number", "_sort_id"]
+    plain = projection.project(store, events, "event", tree, keep, max_list=3)
+    by = {"_sort_number": F.col("_sort_number").desc_nulls_last(), "_sort_id": F.col("_sort_id").asc_nulls_first()}
+    dealt = projection.project(store, events, "event", tree, keep, max_list=3, by=by)
+    assert dealt.columns == plain.columns and dealt.schema.simpleString() == plain.schema.simpleString()
+    whole = sorted(map(repr, plain.collect()))
+    assert sorted(map(repr, dealt.collect())) == whole and len(whole) == 2 + 11 + 1 + 2
+
+
 def test_whole_export_text(spark, monkeypatch):
     days = ["2026-04-06", "2026-04-13", "2026-04-27"]
     events = [(f"e{i}", "10-2 x", "Algebra; part, one", 600, 690, dt.date.fromisoformat(d), "L1") for i, d in enumerate(days)]
