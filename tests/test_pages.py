@@ -121,3 +121,45 @@ def test_scans_read_what_they_need(spark):
     cells = R.room_cells(P.elements(pages, R.room_cells))
     assert cells.collect()[0].asDict() == {"anchored": 4, "free_text": 6}
     assert cells._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_tag_that_is_written_again_is_not_read_again():
+    events = P._events('<b class="x y">1</b><b class="x y">2</b>')
+    tags = [tag for tag, _ in events if tag is not None]
+    assert tags[0] is tags[2] and tags[1] is tags[3]
+    assert [data for _, data in events] == ["", "1", "", "2", ""]
+
+
+def test_course_rows_read_the_pages_once(spark):
+    box = '<div class="tbdata"><b>{}:</b> <span>{}</span></div>'
+    left = '<h1>K1 Name</h1><div id="contentlayoutleft">{}</div>'
+    rows = [
+        ("1", left.format(box.format("Lehrende", "A; B") + box.format("Literatur", "x") + box.format("Literatur", "y"))),
+        ("2", "<h1>K2 Bare</h1>"), ("3", left[15:].format(box.format("Lehrende", "C"))), (None, left.format(box.format("Lehrende", "D"))),
+        ("4", '<div class="tbdata"><h1>K4 Inside</h1><b>Lehrende</b><span>E</span></div><h1>K5 Later</h1>'),
+    ]
+    els = P.elements(spark.createDataFrame(rows, "page_id string, html string"), P.course_rows)
+    found = P.course_rows(els)
+    told = {r["page_id"]: (r["number"], r["name"], r["staff"], r["literature"]) for r in found.collect()}
+    assert told == {"1": ("K1", "Name", ["A", "B"], "y"), "2": ("K2", "Bare", [], ""), None: ("K1", "Name", [], ""), "4": ("K4", "Inside", [], "")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_cell_texts_are_made_once_a_cell(spark):
+    rows = [("1", '<div><div>Modulabschlussprüfungen</div><table><tr><td>E  1</td><td>am 3.</td><td>P</td><td>Ja</td></tr></table></div>')]
+    els = P.elements(spark.createDataFrame(rows, "page_id string, html string"))
+    exams = P.exams(els)
+    assert [(r["name"], r["date_text"], r["staff"], r["required"]) for r in exams.collect()] == [("E 1", "am 3.", ["P"], True)]
+    assert exams._jdf.queryExecution().optimizedPlan().toString().count("array_join(cell_values") == 2
+
+
+def test_labels_are_sent_without_texts_that_nobody_reads(spark):
+    from syllabary.plans import reconcile as R
+
+    html = '<div id="contentlayoutleft"><div><span class="font-semibold break-all">Neu:</span><div>a<br>b</div></div></div>'
+    pages = spark.createDataFrame([("1", html)], "page_id string, html string")
+    assert P.elements(pages, P.unknown_labels).columns == ["page_id", "node", "tag", "area", "label"]
+    labels = P.module_labels(P.elements(pages, P.unknown_labels))
+    assert [r["message"] for r in P.unknown_labels(labels, P.MODULE_LABELS).collect()] == ["Neu"]
+    labels = P.module_labels(P.elements(pages, R.label_frequencies))
+    assert [tuple(r) for r in R.label_frequencies(labels, P.MODULE_LABELS).collect()] == [("Neu", 1, False, "a\nb")]
