@@ -163,3 +163,30 @@ def test_labels_are_sent_without_texts_that_nobody_reads(spark):
     assert [r["message"] for r in P.unknown_labels(labels, P.MODULE_LABELS).collect()] == ["Neu"]
     labels = P.module_labels(P.elements(pages, R.label_frequencies))
     assert [tuple(r) for r in R.label_frequencies(labels, P.MODULE_LABELS).collect()] == [("Neu", 1, False, "a\nb")]
+
+
+def labelled(label, value):
+    return f'<div><span class="font-semibold break-all">{label}:</span> <div>{value}</div></div>'
+
+
+def test_module_capture_compares_fields_and_counts_rows_page_by_page(spark):
+    from syllabary.plans import reconcile as R
+
+    left = '<div id="contentlayoutleft">{}</div>'.format
+    exam = "<div><div>Modulabschlussprüfungen</div><table>{}</table></div>".format
+    paper = '<table summary="Leistungen"><tr><td class="rw-detail-reqachieve">{}</td></tr></table>'.format
+    row = "<tr><td>E</td><td>am 3.</td><td>P</td><td>Ja</td></tr>"
+    rows = [
+        ("1", left(labelled("Ziele", "a<!-- n -->b") + labelled("Inhalt", "<b>10</b>LP") + labelled("Neu", "a<!-- n -->b"))),
+        ("2", left(labelled("Ziele", "x<!-- n -->y") + labelled("Ziele", "same")) + exam(row + "<tr><td>short</td></tr>") + paper("")),
+        ("3", left(labelled("Inhalt", "p<!-- n -->q")) + exam(row) + paper("Paper")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id string, html string")
+    want = {
+        "duplicate_labels": 1, "unreadable_exam_dates": 0, "changed_fields": 2, "changed_fields: Ziele": 1, "changed_fields: Inhalt": 1, "exam_raw_rows": 3,
+        "exam_rows": 2, "exam_count_mismatches": 1, "achievement_raw_rows": 2, "achievement_rows": 1, "achievement_count_mismatches": 1,
+    }
+    for els in (P.elements(pages, R.module_capture), P.elements(pages)):
+        assert {r["what"]: r["n"] for r in R.module_capture(els).collect()} == want
+    none = R.module_capture(P.elements(pages.where("false"), R.module_capture))
+    assert {r["what"]: r["n"] for r in none.collect()} == {k: 0 for k in want if ":" not in k}
