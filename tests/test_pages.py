@@ -190,3 +190,13 @@ def test_module_capture_compares_fields_and_counts_rows_page_by_page(spark):
         assert {r["what"]: r["n"] for r in R.module_capture(els).collect()} == want
     none = R.module_capture(P.elements(pages.where("false"), R.module_capture))
     assert {r["what"]: r["n"] for r in none.collect()} == {k: 0 for k in want if ":" not in k}
+
+
+def test_lost_requirements_are_told_from_the_page_and_not_from_what_is_stored(spark):
+    from syllabary.plans import reconcile as R
+
+    page = f'<div id="contentlayoutleft">{labelled("Teilnahmevoraussetzungen", "{}")}</div>'.format
+    rows = [("1", page("A: 1<b>B: 2</b>")), ("2", page("A: 1<br>B (x: y): z<br>free"))]
+    els = P.elements(spark.createDataFrame(rows, "page_id string, html string"), R.prerequisite_loss)
+    found = {r["page_id"]: tuple(r)[1:] for r in R.prerequisite_loss(P.module_labels(els)).collect()}
+    assert found == {"1": (2, 2, ["B"], True), "2": (3, 2, [], False)}
