@@ -37,3 +37,25 @@ def test_paths_of_a_module_are_made_once(spark):
     plan = paths._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(") == 1
     assert {tuple(r["path"]) for r in paths.collect()} == {("Root", "SoSe 2024", "10 - A", "11 - B"), ("WiSe 2025",), ("x",)}
+
+
+def test_links_read_each_level_once_and_travel_as_bytes(spark):
+    levels = staged(spark)
+    names = [n for n in L.resolve(levels).tables if n in L._link_ends()]
+    whole = L.linked(levels, *names)
+    one = {n: {(r["near"], r["far"]) for r in L.linked(levels, n).collect()} for n in names}
+    found = [tuple(r) for r in whole.collect()]
+    assert len(found) == len(set(found)) and {(n, *pair) for n in names for pair in one[n]} == set(found)
+    assert len(one["module_course"]) == 2 and len(one["course_event"]) == 1 and len(one["module_semester"]) == 2 and not one["exam_staff"]
+    assert all(len(end) == 32 for _, near, far in found for end in (near, far))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [link") == 4  # modules, courses, events, exams
+    assert plan.count("lower(hex(near") == 4 and plan.rindex("unhex(") > plan.rindex("Aggregate [link")
+
+
+def test_rows_are_grouped_by_their_digest_alone(spark):
+    store = L.resolve(staged(spark))
+    for table, key in (("module", "module_id"), ("course", "course_id"), ("event", "event_id"), ("exam", "exam_id")):
+        plan = store[table].select("id")._jdf.queryExecution().optimizedPlan().toString()
+        assert f"Aggregate [{key}#" in plan and ", name#" not in plan[plan.index(f"Aggregate [{key}#") :].split("\n")[0], table
+    assert {(r["number"], r["name"]) for r in store["module"].collect()} == {("10-1", "M"), (None, "N")}
