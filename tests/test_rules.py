@@ -105,3 +105,33 @@ def test_session_rows_by_name_and_by_position(spark):
     assert rows[0]["room"] == "HS 1" and rows[0]["n_rooms"] == 2 and rows[0]["staff"] == ["Dr. A", "Dr. B"]
     assert rows[1]["event_date"] is None and rows[1]["room"] == "R2" and rows[1]["staff"] == ["Dr. C"]
     assert pages.course_rows(els).first()["staff"] == ["Dr. A", "Dr. B"]
+
+
+def test_modules_of_a_course_are_sent_together(spark):
+    from syllabary.operators import calendar as C
+    from syllabary.store import Store
+
+    def rows(values, ddl):
+        return spark.createDataFrame(values, ddl)
+
+    store = Store({
+        "course": rows([(1, "Bee", "B", "x"), (2, "Ay", "A", "y")], "id int, name string, number string, type string"),
+        "course_event": rows([(1, 7), (2, 7), (2, 7), (1, 8), (None, 9)], "course_id int, event_id int"),
+        "module": rows([(4, "M4", "A"), (5, "M5", "Z"), (6, "M6", "B"), (3, None, "Q")], "id int, name string, number string"),
+        "module_course": rows([(4, 2), (3, 2), (5, 2), (4, 1), (6, 1), (6, 1)], "module_id int, course_id int"),
+        "staff": rows([(1, "P"), (2, "Q")], "id int, name string"),
+        "event_staff": rows([(8, 2)], "event_id int, staff_id int"),
+        "course_staff": rows([(2, 1), (2, 2)], "course_id int, staff_id int"),
+        "location": rows([(1, "Room", 1)], "id int, name string, building_id int"),
+        "building": rows([(1, "House")], "id int, name string"),
+    })
+    events = rows([(7, "A1", 1), (8, "x", None), (9, "B", 2)], "id int, number string, location_id int")
+    found = C.with_placeholders(store, events)
+    told = {r["id"]: tuple(r[c] for c in found.columns[3:]) for r in found.collect()}
+    assert told == {
+        7: ("Ay / Bee", "A", "y", "M4 / M5 / M6", "A", "P, Q", "Room", "House"), 8: ("Bee", "B", "x", "M4 / M6", "A", "Q", "", ""),
+        9: ("", "", "", "", "", "", "", ""),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[: plan.index("RepartitionByExpression [_event")]
+    assert "Generate explode(_taught" in sent  # names travel in one row for each event and course
